@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +21,15 @@ def present(*items: Column) -> Column:
     return F.array_except(F.array(*items), F.array(F.lit(None).cast("string")))
 
 
+def nth(values: Column, position: Column) -> Column:
+    """Item at a 1-based position, NULL for a NULL position or one outside.
+
+    ``element_at`` would do, but its generated code overlooks a NULL position when the
+    array is a constant, and then answers with the last item.
+    """
+    return F.get(values, position - 1)
+
+
 def lookup(code: Column, table: dict, default: Column | None = None) -> Column:
     """Constant for a code of a small fixed table, as one CASE expression."""
     if not table:
@@ -30,12 +39,26 @@ def lookup(code: Column, table: dict, default: Column | None = None) -> Column:
     return chain.otherwise(default) if default is not None else chain
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A column used inside a lambda may be inlined there by the optimizer and computed anew
+    for every item. A one-item array carries it in as a variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of doubles, shifted by its maximum."""
-    shifted = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    return F.transform(
-        shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    )
+
+    def shares(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+        return bind(total, lambda t: F.transform(weights, lambda w: w / t))
+
+    def weights_of(z: Column) -> Column:
+        return bind(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    return bind(logits, lambda z: bind(weights_of(z), shares))
 
 
 def first_greatest(values: Column) -> Column:
@@ -51,18 +74,22 @@ def labelled(labels: Sequence[str], values: Column) -> Column:
     return F.map_from_arrays(literals(labels), values)
 
 
-def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x, lambda acc: acc / F.size(values))
+def mean_and_spread(values: Column) -> Column:
+    """Struct of mean and population deviation, in one pass (Welford's update)."""
+
+    def include(acc: Column, x: Column) -> Column:
+        n, step = acc["n"] + 1.0, x - acc["mean"]
+        mean = acc["mean"] + step / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["squares"] + step * (x - mean)).alias("squares"))
 
+    def finish(acc: Column) -> Column:
+        return F.struct(
+            F.when(acc["n"] > 0, acc["mean"]).alias("mean"),
+            F.sqrt(F.try_divide(acc["squares"], acc["n"])).alias("spread"),
+        )
 
-def spread_of(values: Column, mean: Column) -> Column:
-    """Population standard deviation around a known mean."""
-    return F.aggregate(
-        values,
-        F.lit(0.0),
-        lambda acc, x: acc + (x - mean) * (x - mean),
-        lambda acc: F.sqrt(acc / F.size(values)),
-    )
+    start = F.struct(*[F.lit(0.0).alias(name) for name in ("n", "mean", "squares")])
+    return F.aggregate(values, start, include, finish)
 
 
 def symptom_set(symptoms: Column) -> Column:

@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vitalgrid.functions.text import strip
-
+_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
 # Fixed value: texts that count as numbers (digits may be grouped with single
-# underscores; no type suffixes, no hexadecimal).
+# underscores; no type suffixes, no hexadecimal), with white space around.
 NUMBER_PATTERN = (
-    r"^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
-    r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
+    "^" + _BLANK + r"([+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?"
+    r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN]))" + _BLANK + "$"
 )
 
 
 def parse_number(text: Column) -> Column:
-    """Double for a numeric text, NULL for anything else. ``nan`` and ``inf`` count."""
-    bare = strip(text)
-    return F.when(bare.rlike(NUMBER_PATTERN), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+    """Double for a numeric text, NULL for anything else. ``nan`` and ``inf`` count.
+
+    Plain decimals are cast at once. For the rest, a text that does not match the full
+    pattern is extracted as the empty one, which casts to NULL.
+    """
+    digits = F.replace(F.regexp_extract(text, NUMBER_PATTERN, 1), F.lit("_"), F.lit(""))
+    plain = text.rlike(r"^[0-9.]+$")
+    return F.when(plain, text.try_cast("double")).otherwise(digits.try_cast("double"))
 
 
 def comparable(value: Column) -> Column:
     """NaN becomes NULL, so that no threshold test holds for it."""
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def round_exact(value: Column, digits: int) -> Column:

@@ -15,7 +15,9 @@ WHITE_SPACE = (
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITE_SPACE))
+    """Without white space at both ends; texts that clearly have none pass at once."""
+    tight = text.rlike(r"^[!-~](?:[ -~]*[!-~])?$")
+    return F.when(tight, text).otherwise(F.trim(text, F.lit(WHITE_SPACE)))
 
 
 def fold(text: Column) -> Column:

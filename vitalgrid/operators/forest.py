@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid import domain
-from vitalgrid.functions.arrays import literals
+from vitalgrid.functions.arrays import literals, nth
 from vitalgrid.functions.records import document
 from vitalgrid.operators import evaluation
 from vitalgrid.operators.triage import feature_vector
@@ -78,7 +78,7 @@ def calibrate(rows: DataFrame, *, folds: int = FOLDS, seed: int = SEED, trees: i
     for held_out in range(folds):
         model = train_forest(rows.filter(_fold(folds, seed) != held_out), trees=trees, depth=depth, seed=seed)
         scored = _class_scores(model, rows.filter(_fold(folds, seed) == held_out))
-        points = scored.select("label", F.posexplode("_scores").alias("class", "score")).groupBy(
+        points = scored.select("label", F.posexplode_outer("_scores").alias("class", "score")).groupBy(
             "class", F.round("score", SCORE_DIGITS).alias("features")
         ).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.count_if(F.col("label") == F.col("class")).alias("hits"))
         points = materialize(points.withColumn("label", F.col("hits") / F.col("weight")), "calibration-points")
@@ -135,7 +135,7 @@ def feature_importances(model: CalibratedForest, spark: SparkSession) -> DataFra
 
 def with_prediction(scored: DataFrame, labels: Sequence[str] = domain.RISK_LABELS) -> DataFrame:
     position = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
-    return scored.withColumn("predicted", F.element_at(literals(labels), position))
+    return scored.withColumn("predicted", nth(literals(labels), position))
 
 
 def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str, training_rows: int, seconds: float = 0.0) -> DataFrame:

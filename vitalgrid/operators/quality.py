@@ -138,7 +138,8 @@ def rejected(assessed: DataFrame) -> DataFrame:
 
 def reject_reason_counts(assessed: DataFrame) -> DataFrame:
     return (
-        assessed.select(F.explode("reject_reasons").alias("reason"))
+        assessed.select(F.explode_outer("reject_reasons").alias("reason"))
+        .filter("reason IS NOT NULL")
         .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("rows"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid import domain
 from vitalgrid.functions import arrays
-from vitalgrid.functions.arrays import literals, lookup, present
+from vitalgrid.functions.arrays import literals, lookup, nth, present
 from vitalgrid.functions.records import derived_id, document, iso_time
 from vitalgrid.functions.text import report_key
 
@@ -21,7 +21,7 @@ def argmax_class(df: DataFrame, probabilities: str, labels: Sequence[str]) -> Da
     values = F.col(probabilities)
     return df.withColumns(
         {
-            "prediction_class": F.element_at(literals(labels), arrays.first_greatest(values)),
+            "prediction_class": nth(literals(labels), arrays.first_greatest(values)),
             "confidence": F.array_max(values),
         }
     )
@@ -45,19 +45,21 @@ def ranked_probabilities(df: DataFrame, id_col: str, probabilities: str, labels:
     pairs = F.transform(
         probabilities, lambda p, i: F.struct((-p).alias("negated"), i.alias("position"), p.alias("probability"))
     )
-    ranked = df.select(id_col, F.posexplode(F.array_sort(pairs)).alias("rank", "item"))
+    ranked = df.select(id_col, F.posexplode_outer(F.array_sort(pairs)).alias("rank", "item"))
+    ranked = ranked.filter("rank IS NOT NULL")
     return ranked.select(
         id_col,
         (F.col("rank") + 1).alias("rank"),
-        F.element_at(literals(labels), F.col("item.position") + 1).alias("label"),
+        nth(literals(labels), F.col("item.position") + 1).alias("label"),
         F.col("item.probability").alias("probability"),
     )
 
 
 def intensity_stats(df: DataFrame, pixels: str = "pixels") -> DataFrame:
     """``mean_intensity`` and ``contrast`` (population deviation) of a pixel vector."""
-    with_mean = df.withColumn("mean_intensity", arrays.mean_of(F.col(pixels)))
-    return with_mean.withColumn("contrast", arrays.spread_of(F.col(pixels), F.col("mean_intensity")))
+    measured = df.withColumn("_stats", arrays.mean_and_spread(F.col(pixels)))
+    named = {"mean_intensity": F.col("_stats.mean"), "contrast": F.col("_stats.spread")}
+    return measured.withColumns(named).drop("_stats")
 
 
 def quality_flags(df: DataFrame) -> DataFrame:
@@ -127,8 +129,12 @@ def study_events(df: DataFrame) -> DataFrame:
 
 
 def derive_quality_events(df: DataFrame) -> DataFrame:
-    """Zero to three event rows per study with quality_messages."""
-    return study_events(df).select("study_id", F.inline("events"))
+    """Zero to three event rows per study with quality_messages.
+
+    Unfolded as an outer generator and filtered afterwards: for an inner one the
+    optimizer first tests the size of the array, for which it computes it a second time.
+    """
+    return study_events(df).select("study_id", F.inline_outer("events")).filter("event_id IS NOT NULL")
 
 
 def study_records(scored: DataFrame, bucket: str) -> DataFrame:

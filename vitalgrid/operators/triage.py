@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid import domain
 from vitalgrid.functions import arrays, numeric
-from vitalgrid.functions.arrays import literals, lookup, present
+from vitalgrid.functions.arrays import literals, lookup, nth, present
 from vitalgrid.functions.numeric import comparable, parse_number, round_exact
 from vitalgrid.functions.records import document, iso_time
 from vitalgrid.functions.text import fold, patient_code, report_key, strip
@@ -30,6 +30,11 @@ def lenient_vital(name: str, default: float) -> Column:
     return F.coalesce(parse_number(vital(name)), F.lit(float(default)))
 
 
+def _staged(df: DataFrame, defaults: Mapping[str, float]) -> DataFrame:
+    """Columns ``_<vital>`` with NaN as NULL, parsed once however often they are compared."""
+    return df.withColumns({f"_{n}": comparable(lenient_vital(n, v)) for n, v in defaults.items()})
+
+
 def coerce_vitals(df: DataFrame, defaults: Mapping[str, float] = domain.MODEL_DEFAULTS) -> DataFrame:
     """One double column per vital in ``defaults``."""
     return df.withColumns({name: lenient_vital(name, value) for name, value in defaults.items()})
@@ -39,29 +44,24 @@ def validate_vitals(df: DataFrame) -> DataFrame:
     """Form values per vital (NULL where invalid) and ``form_error``, the first error.
 
     Blank means the default, a comma is a decimal point. The name is checked before the
-    vitals, those in catalogue order.
+    vitals, those in catalogue order. The texts are picked by number at the end, which
+    keeps the generated code small enough for the JVM to compile.
     """
-    raw = {f"_raw_{name}": strip(vital(name)) for name in domain.VITALS}
-    parsed = {
-        f"_num_{name}": parse_number(F.replace(F.col(f"_raw_{name}"), F.lit(","), F.lit(".")))
-        for name in domain.VITALS
-    }
-    values, errors = {}, [F.when(~valid_name(), domain.NAME_REQUIRED)]
+    numbers, blanks, values, codes, messages = {}, {}, {}, [], []
     for name, (default, low, high) in domain.VITAL_RANGES.items():
-        text, number = F.col(f"_raw_{name}"), F.col(f"_num_{name}")
-        blank = F.coalesce(text, F.lit("")) == ""
-        outside = (comparable(number) < low) | (comparable(number) > high)
-        values[name] = F.when(blank, F.lit(default)).when(~F.coalesce(outside, F.lit(False)), number)
-        errors.append(
-            F.when(
-                ~blank,
-                F.when(number.isNull(), domain.NOT_NUMERIC % name).when(
-                    outside, domain.OUT_OF_RANGE % (name, low, high)
-                ),
-            )
-        )
-    checked = df.withColumns(raw).withColumns(parsed).withColumns({**values, "form_error": F.coalesce(*errors)})
-    return checked.drop(*raw, *parsed)
+        number, blank = F.col(f"_number_{name}"), F.col(f"_blank_{name}")
+        numbers[f"_number_{name}"] = parse_number(F.replace(vital(name), F.lit(","), F.lit(".")))
+        blanks[f"_blank_{name}"] = number.isNull() & (F.coalesce(strip(vital(name)), F.lit("")) == "")
+        inside = number.between(low, high) | F.isnan(number)
+        values[name] = F.when(blank, F.lit(default)).when(inside, number)
+        messages += [domain.NOT_NUMERIC % name, domain.OUT_OF_RANGE % (name, low, high)]
+        wrong = F.when(number.isNull(), len(messages) - 1).otherwise(len(messages))
+        codes.append(F.when(F.col(name).isNull(), wrong))
+    error = F.when(~valid_name(), domain.NAME_REQUIRED).otherwise(
+        nth(literals(messages), F.coalesce(*codes))
+    )
+    parsed = df.withColumns(numbers).withColumns(blanks).withColumns(values)
+    return parsed.withColumn("form_error", error).drop(*numbers, *blanks)
 
 
 def valid_name() -> Column:
@@ -82,7 +82,6 @@ def catalogued_symptoms(df: DataFrame) -> DataFrame:
 
 def rules_score(df: DataFrame) -> DataFrame:
     """``score`` 0..100: points for symptoms, for a red flag, and for three vitals."""
-    vitals = {name: comparable(lenient_vital(name, value)) for name, value in domain.RULE_DEFAULTS.items()}
 
     def bonus(condition: Column, points: int) -> Column:
         return F.when(condition, points).otherwise(0)
@@ -91,13 +90,13 @@ def rules_score(df: DataFrame) -> DataFrame:
     points = [
         F.least(F.lit(domain.SYMPTOM_POINTS_CAP), F.size(reported) * domain.POINTS_PER_SYMPTOM),
         bonus(F.arrays_overlap(reported, literals(domain.RULE_RED_FLAGS)), domain.RED_FLAG_POINTS),
-        bonus(vitals["heart_rate"] >= domain.HEART_RATE_AT_LEAST, domain.HEART_RATE_POINTS),
-        bonus(vitals["oxygen_saturation"] < domain.OXYGEN_BELOW, domain.OXYGEN_POINTS),
-        bonus(vitals["systolic_bp"] < domain.PRESSURE_BELOW, domain.PRESSURE_POINTS),
+        bonus(F.col("_heart_rate") >= domain.HEART_RATE_AT_LEAST, domain.HEART_RATE_POINTS),
+        bonus(F.col("_oxygen_saturation") < domain.OXYGEN_BELOW, domain.OXYGEN_POINTS),
+        bonus(F.col("_systolic_bp") < domain.PRESSURE_BELOW, domain.PRESSURE_POINTS),
     ]
-    symptoms = F.coalesce(F.col("symptoms"), F.array().cast("array<string>"))
-    scored = df.withColumn("_reported", arrays.symptom_set(symptoms))
-    return scored.withColumn("score", F.least(F.lit(domain.SCORE_CAP), reduce(add, points))).drop("_reported")
+    staged = _staged(df, domain.RULE_DEFAULTS).withColumn("_reported", arrays.symptom_set(_symptoms()))
+    scored = staged.withColumn("score", F.least(F.lit(domain.SCORE_CAP), reduce(add, points)))
+    return scored.drop("_reported", *[f"_{name}" for name in domain.RULE_DEFAULTS])
 
 
 def rules_risk(df: DataFrame) -> DataFrame:
@@ -126,7 +125,6 @@ def with_priority(df: DataFrame, risk_col: str = "risk_level") -> DataFrame:
 
 def band_points(value: Column, bands: Mapping[str, Sequence]) -> Column:
     """Points of the first band that holds, low side before high side; 0 for none."""
-    value = comparable(value)
     tests = [(value <= limit, points) for limit, points in bands["up_to"]]
     tests += [(value >= limit, points) for limit, points in bands["from"]]
     chain = F.when(*tests[0])
@@ -137,41 +135,37 @@ def band_points(value: Column, bands: Mapping[str, Sequence]) -> Column:
 
 def news2_score(df: DataFrame) -> DataFrame:
     """``news2`` from the coerced vitals of the request."""
-    points = [
-        band_points(lenient_vital(name, domain.MODEL_DEFAULTS[name]), bands)
-        for name, bands in domain.EARLY_WARNING_BANDS.items()
-    ]
-    return df.withColumn("news2", reduce(add, points))
+    return _with_news2(df).drop(*[f"_{name}" for name in domain.VITALS])
+
+
+def _with_news2(df: DataFrame) -> DataFrame:
+    points = [band_points(F.col(f"_{name}"), bands) for name, bands in domain.EARLY_WARNING_BANDS.items()]
+    return _staged(df, domain.MODEL_DEFAULTS).withColumn("news2", reduce(add, points))
 
 
 def severity_label(df: DataFrame) -> DataFrame:
     """``severity_label`` from news2, red flags, age and oxygen saturation."""
-    flags = F.size(F.array_intersect(F.col("_reported"), literals(domain.LABEL_RED_FLAGS)))
-    age = comparable(lenient_vital("age", domain.MODEL_DEFAULTS["age"]))
-    oxygen = comparable(lenient_vital("oxygen_saturation", domain.MODEL_DEFAULTS["oxygen_saturation"]))
-    prepared = (
-        news2_score(df)
-        .withColumn("_reported", _strict_symptoms())
-        .withColumn("red_flags", flags)
-        .withColumn(
-            "severity",
-            F.col("news2")
-            + F.col("red_flags") * domain.SEVERITY_RED_FLAG_POINTS
-            + F.when(age >= domain.SEVERITY_AGE, domain.SEVERITY_AGE_POINTS).otherwise(0),
-        )
+    reported = arrays.symptom_set_strict(_symptoms())
+    severity = (
+        F.col("news2")
+        + F.col("red_flags") * domain.SEVERITY_RED_FLAG_POINTS
+        + F.when(F.col("_age") >= domain.SEVERITY_AGE, domain.SEVERITY_AGE_POINTS).otherwise(0)
     )
-    override = (F.col("red_flags") >= domain.CRITICAL_RED_FLAGS) | F.coalesce(
-        oxygen <= domain.CRITICAL_OXYGEN, F.lit(False)
+    override = (F.col("red_flags") >= domain.CRITICAL_RED_FLAGS) | (
+        F.col("_oxygen_saturation") <= domain.CRITICAL_OXYGEN
     )
     label = F.when(override, "critical")
     for threshold, name in domain.SEVERITY_LEVELS:
         label = label.when(F.col("severity") >= threshold, name)
-    return prepared.withColumn("severity_label", label.otherwise("low")).drop("_reported")
+    prepared = _with_news2(df).withColumn(
+        "red_flags", F.size(F.array_intersect(reported, literals(domain.LABEL_RED_FLAGS)))
+    )
+    labelled = prepared.withColumn("severity", severity).withColumn("severity_label", label.otherwise("low"))
+    return labelled.drop(*[f"_{name}" for name in domain.VITALS])
 
 
-def _strict_symptoms() -> Column:
-    symptoms = F.coalesce(F.col("symptoms"), F.array().cast("array<string>"))
-    return arrays.symptom_set_strict(symptoms)
+def _symptoms() -> Column:
+    return F.coalesce(F.col("symptoms"), F.array().cast("array<string>"))
 
 
 def risk_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -194,7 +188,7 @@ def label_noise(
     target = F.when(down, F.greatest(position - 1, F.lit(1))).otherwise(
         F.least(position + 1, F.lit(len(labels)))
     )
-    return df.withColumn(column, F.when(moves & (position > 0), F.element_at(literals(labels), target)).otherwise(F.col(column)))
+    return df.withColumn(column, F.when(moves & (position > 0), nth(literals(labels), target)).otherwise(F.col(column)))
 
 
 # --- features and model assessment -----------------------------------------------
@@ -206,12 +200,12 @@ def feature_columns(df: DataFrame) -> DataFrame:
     hot = {
         f"symptom__{name}": F.array_contains("_reported", name).cast("double") for name in domain.SYMPTOMS
     }
-    return df.withColumn("_reported", _strict_symptoms()).withColumns({**single, **hot}).drop("_reported")
+    return df.withColumn("_reported", arrays.symptom_set_strict(_symptoms())).withColumns({**single, **hot}).drop("_reported")
 
 
 def feature_vector(df: DataFrame) -> DataFrame:
     """``features``: the model's doubles in their fixed order."""
-    prepared = df.withColumn("_reported", _strict_symptoms())
+    prepared = df.withColumn("_reported", arrays.symptom_set_strict(_symptoms()))
     items = [lenient_vital(name, default).cast("float").cast("double") for name, default in domain.MODEL_DEFAULTS.items()]
     items += [F.array_contains("_reported", name).cast("double") for name in domain.SYMPTOMS]
     return prepared.withColumn("features", F.array(*items)).drop("_reported")
@@ -232,7 +226,7 @@ def model_assessment(scored: DataFrame, labels: Sequence[str] = domain.RISK_LABE
     scaled = F.rint(F.col("certainty") * F.lit(100.0) * F.col("_class") / F.lit(float(k)))
     result = placed.withColumns(
         {
-            "risk_level": F.element_at(literals(labels), F.col("_class")),
+            "risk_level": nth(literals(labels), F.col("_class")),
             "score": numeric.clamp(scaled, 0.0, 100.0).cast("int"),
             "confidence": round_exact(F.col("certainty"), 4),
             "probability_map": F.map_from_arrays(literals(labels), arrays.rounded(F.col("probabilities"), 4)),
@@ -243,7 +237,7 @@ def model_assessment(scored: DataFrame, labels: Sequence[str] = domain.RISK_LABE
 
 def triage_alerts(scored: DataFrame) -> DataFrame:
     """``alerts`` in fixed order, for rows with risk_level, certainty and symptoms."""
-    folded = F.transform(F.coalesce(F.col("symptoms"), F.array().cast("array<string>")), fold)
+    folded = F.transform(_symptoms(), fold)
     return scored.withColumn(
         "alerts",
         present(
@@ -268,30 +262,29 @@ def top_contributors(
     if not importances:
         nothing = F.array().cast("array<struct<feature:string,importance:double,value:double>>")
         return df.withColumn("contributors", nothing)
-    weights = [F.lit(float(w)) for w in importances]
-    masked = [
-        F.when(F.element_at("features", i + 1) != 0, w).otherwise(0.0) for i, w in enumerate(weights)
-    ]
+    # importances are known when the plan is made, so they are rounded here
+    weights = literals([float(w) for w in importances])
+    shares = literals([round(float(w), 4) for w in importances])
+    names = literals(features)
 
-    def ranking(scores: Sequence[Column]) -> Column:
-        ranked = F.array(*[F.struct(s.alias("score"), F.lit(i).alias("position")) for i, s in enumerate(scores)])
-        return F.slice(F.sort_array(ranked, asc=False), 1, k)
+    def item(value: Column, position: Column, score: Column) -> Column:
+        return F.struct(score.alias("score"), position.alias("position"), value.alias("value"))
 
-    picked = df.withColumn("_mass", reduce(add, masked)).withColumn(
-        "_ranked", F.when(F.col("_mass") <= 0, ranking(weights)).otherwise(ranking(masked))
+    masked = F.transform(
+        "features", lambda v, i: item(v, i, F.when(v != 0, nth(weights, i + 1)).otherwise(0.0))
     )
-    names, table = literals(features), literals([float(w) for w in importances])
-    return picked.withColumn(
-        "contributors",
-        F.transform(
-            "_ranked",
-            lambda r: F.struct(
-                F.element_at(names, r["position"] + 1).alias("feature"),
-                round_exact(F.element_at(table, r["position"] + 1), 4).alias("importance"),
-                round_exact(F.element_at(F.col("features"), r["position"] + 1), 2).alias("value"),
-            ),
+    mass = F.aggregate("_items", F.lit(0.0), lambda acc, x: acc + x["score"])
+    plain = F.transform("_items", lambda x: item(x["value"], x["position"], nth(weights, x["position"] + 1)))
+    ranked = F.slice(F.sort_array(F.when(mass <= 0, plain).otherwise(F.col("_items")), asc=False), 1, k)
+    contributors = F.transform(
+        ranked,
+        lambda x: F.struct(
+            nth(names, x["position"] + 1).alias("feature"),
+            nth(shares, x["position"] + 1).alias("importance"),
+            round_exact(x["value"], 2).alias("value"),
         ),
-    ).drop("_mass", "_ranked")
+    )
+    return df.withColumn("_items", masked).withColumn("contributors", contributors).drop("_items")
 
 
 def assess(requests: DataFrame, scores: DataFrame, request_key: str = "ref_id", score_key: str = "vec_id") -> DataFrame:

@@ -53,7 +53,7 @@ def calibrate_isotonic(spark, d):
     model = forest.load(spark, trained(spark, d)[0])
     scored = forest.score(model, triage.feature_vector(labelled(spark, d)))
     truth = F.array_position(F.array(*[F.lit(r) for r in domain.RISK_LABELS]), F.col("severity_label")) - 1
-    points = scored.select(truth.alias("truth"), F.posexplode("probabilities").alias("class", "p"))
+    points = scored.select(truth.alias("truth"), F.posexplode_outer("probabilities").alias("class", "p"))
     return points.groupBy("class", F.round("p", 1).alias("predicted_share")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg((F.col("truth") == F.col("class")).cast("double")).alias("observed_share")
     )

@@ -225,7 +225,7 @@ _VECTOR = (
     QUALIFY rank <= 3""")
 def top_contributors(spark, d):
     ranked = triage.top_contributors(triage.feature_vector(requests(spark, d)), IMPORTANCES)
-    exploded = ranked.select("triage_id", F.posexplode("contributors").alias("position", "c"))
+    exploded = ranked.select("triage_id", F.posexplode_outer("contributors").alias("position", "c"))
     return exploded.select("triage_id", (F.col("position") + 1).cast("long").alias("rank"), "c.*")
 
 

@@ -17,6 +17,8 @@ def build_session(app_name: str = "vitalgrid", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # the JVM never compiles longer methods; above this Spark generates short ones
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -53,3 +55,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that is read in fewer pieces than there are cores.
+
+    One file with one row group would keep a single core busy. Tables of many files stay
+    exactly as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid import domain
 from vitalgrid.functions.arrays import present
+from vitalgrid.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +90,7 @@ def _triage_columns(lineitem: DataFrame) -> DataFrame:
 
 def triage_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with text vitals (struct) and their symptoms (array)."""
-    return _triage_columns(table(spark, sf_dir, "lineitem"))
+    return _triage_columns(spread(table(spark, sf_dir, "lineitem")))
 
 
 def triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,10 +70,10 @@ def labelled_images(objects: DataFrame) -> DataFrame:
     ``label`` is NULL for folders that stand for no class, see ``unknown_folders``.
     """
     parts = objects.select("path", F.split("path", "/").alias("parts"))
-    folder = F.element_at("parts", -2)
+    folder = F.try_element_at("parts", F.lit(-2))
     return parts.select(
         "path",
-        F.element_at("parts", -3).alias("folder_split"),
+        F.try_element_at("parts", F.lit(-3)).alias("folder_split"),
         folder.alias("folder"),
         lookup(folder, domain.FOLDER_LABELS).alias("label"),
     )
