@@ -22,7 +22,9 @@ def size_text(size: Column) -> Column:
 
 
 def data_url(content: Column, mime_type: Column) -> Column:
-    return F.concat(F.lit("data:"), mime_type, F.lit(";base64,"), F.base64(content))
+    """``base64`` breaks its text into lines, which a URL must not have."""
+    encoded = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+    return F.concat(F.lit("data:"), mime_type, F.lit(";base64,"), encoded)
 
 
 def image_format(content: Column) -> Column:

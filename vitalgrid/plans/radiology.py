@@ -253,7 +253,7 @@ _FOUND = "CASE WHEN starts_with(hex(content), '89504E470D0A1A0A') THEN 'PNG' WHE
 
 
 @query("image_validate", f"""
-    SELECT path, CASE WHEN extension NOT IN ('.jpg', '.jpeg', '.png') OR NOT (mime = '' OR mime IN ('image/jpeg', 'image/png')) THEN 'Unsupported file type'
+    SELECT path, CASE WHEN extension NOT IN ('.jpg', '.jpeg', '.png') OR NOT (mime = '' OR lower(mime) IN ('image/jpeg', 'image/png')) THEN 'Unsupported file type'
                 WHEN size = 0 THEN 'Empty file' WHEN size > 5242880 THEN 'File exceeds the size limit'
                 WHEN found IS NULL THEN 'Invalid image file'
                 WHEN (found = 'PNG') <> (extension = '.png') THEN 'File extension does not match the image content' END AS image_error

@@ -9,14 +9,9 @@ from __future__ import annotations
 import re
 
 from vitalgrid import domain
+from vitalgrid.functions.text import WHITE_SPACE
 
-# Fixed value: code points a form text is stripped of.
-_BLANKS = (
-    [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760]
-    + list(range(8192, 8203))
-    + [8232, 8233, 8239, 8287, 12288]
-)
-BLANKS = " || ".join(f"chr({code})" for code in _BLANKS)
+BLANKS = "'" + WHITE_SPACE + "'"
 NUMBER = (
     r"[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
     r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])"
