@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalgrid.functions.arrays import literals
 from vitalgrid.session import materialize
 
 # Hex digits of the hash that make a bucket of the split. 4 digits: 65 536 buckets.
@@ -105,18 +106,25 @@ def best_epoch(history: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequence[str]) -> DataFrame:
-    """One row per pair of labels, zeros included; rows with other labels do not count."""
-    counts = (
-        df.filter(F.col(actual).isin(*labels) & F.col(predicted).isin(*labels))
-        .groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+    """One row per pair of labels, zeros included; rows with other labels do not count.
+
+    Rows are counted by label position (0 for any other label), at most (k + 2)^2 groups,
+    and the cells look their count up. Filtering or joining on labels that are themselves
+    computed would make the optimizer push, and so repeat, that computation.
+    """
+    names, base = literals(labels), len(labels) + 1
+    places = df.select(
+        F.array_position(names, F.col(actual)).alias("a"), F.array_position(names, F.col(predicted)).alias("p")
     )
-    names = F.array(*[F.lit(l) for l in labels])
-    grid = df.sparkSession.range(1).select(F.explode(names).alias("actual"))
-    grid = grid.select("actual", F.explode(names).alias("predicted"))
-    return grid.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("rows", F.lit(0)).cast("long").alias("rows")
+    counts = places.groupBy("a", "p").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.select((F.col("a") * base + F.col("p")).alias("cell"), "n").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("cells")
     )
+    grid = df.sparkSession.range(1).select(cells.scalar().alias("cells"), F.posexplode(names).alias("i", "actual"))
+    grid = grid.select("cells", "i", "actual", F.posexplode(names).alias("j", "predicted"))
+    cell = ((F.col("i") + 1) * base + F.col("j") + 1).cast("long")
+    rows = F.coalesce(F.try_element_at("cells", cell), F.lit(0)).cast("long")
+    return grid.select("actual", "predicted", rows.alias("rows"))
 
 
 def confusion_table(df: DataFrame, actual: str, predicted: str, labels: Sequence[str]) -> DataFrame:

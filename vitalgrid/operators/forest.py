@@ -35,14 +35,24 @@ class CalibratedForest:
     labels: tuple[str, ...] = domain.RISK_LABELS
 
 
-def training_rows(df: DataFrame, label: str, labels: Sequence[str] = domain.RISK_LABELS) -> DataFrame:
-    """``features`` vector, numeric ``label`` and balanced ``weight`` of labelled requests."""
+def feature_table(labelled: DataFrame, label: str) -> DataFrame:
+    """triage_id, features and label of the requests, computed once and stored.
+
+    Training passes over its input many times. A filter or join on a stored label also
+    stays one: on a computed label it would repeat the whole derivation of the label.
+    """
+    columns = feature_vector(labelled).select("triage_id", "features", label)
+    return materialize(columns, "features")
+
+
+def training_rows(table: DataFrame, label: str, labels: Sequence[str] = domain.RISK_LABELS) -> DataFrame:
+    """``features`` vector, numeric ``label`` and balanced ``weight`` of a feature table."""
     attribute = {"ml_attr": {"type": "nominal", "name": "label", "vals": list(labels)}}
-    weights = materialize(evaluation.class_weights(df, label, labels), "class-weights")
+    weights = materialize(evaluation.class_weights(table, label, labels), "class-weights")
     index = (F.array_position(literals(labels), F.col(label)) - 1).cast("double")
-    rows = feature_vector(df).withColumn("_vector", array_to_vector("features"))
+    rows = table.withColumn("_vector", array_to_vector("features"))
     return (
-        rows.filter(index >= 0)
+        rows.filter(F.col(label).isin(*labels))
         .join(weights.select(F.col("label").alias("_class"), "weight"), F.col(label) == F.col("_class"))
         .select("triage_id", F.col("_vector").alias("features"), index.alias("label", metadata=attribute), "weight")
     )
@@ -170,13 +180,14 @@ def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str,
 def train_and_report(labelled: DataFrame, label: str, path: str, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS):
     """Split, train, save and evaluate. Returns the model and its metrics document."""
     started = perf_counter()
-    parts = evaluation.stratified_split(labelled, label, "triage_id", TEST_RATIO, seed)
+    table = feature_table(labelled, label)
+    parts = materialize(evaluation.stratified_split(table, label, "triage_id", TEST_RATIO, seed), "parts")
     train = parts.filter("subset = 'train'")
     test = parts.filter("subset = 'val'")
-    rows = training_rows(train, label)
+    rows = materialize(training_rows(train, label), "training-rows")
     model = train_calibrated(rows, trees=trees, depth=depth, seed=seed, folds=folds)
     save(model, labelled.sparkSession, path)
-    scored = score(model, feature_vector(test))
+    scored = score(model, test)
     metrics = training_metrics(scored, model, actual=label, training_rows=train.count(), seconds=round(perf_counter() - started, 2))
     return model, metrics
 

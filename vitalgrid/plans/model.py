@@ -41,7 +41,8 @@ def trained(spark, d) -> tuple[str, str]:
 @query("train_triage_forest")
 def train_triage_forest(spark, d):
     """Predictions of a freshly trained, uncalibrated forest, as a confusion matrix."""
-    rows = forest.training_rows(labelled(spark, d), "severity_label")
+    table = forest.feature_table(labelled(spark, d), "severity_label")
+    rows = forest.training_rows(table, "severity_label")
     model = forest.train_forest(rows, trees=TREES, depth=DEPTH, seed=SEED)
     predicted = model.transform(rows).select("label", "prediction")
     return predicted.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("rows"))
