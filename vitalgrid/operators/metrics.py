@@ -77,7 +77,8 @@ def recent(df: DataFrame, n: int = DEFAULT_LIMIT, id_col: str = "id") -> DataFra
 
     Every task keeps ``n`` rows and one task merges them; nothing is sorted as a whole.
     """
-    newest = df.orderBy(F.desc("created_at"), F.desc(id_col)).limit(checked_limit(n))
+    rows = checked_limit(n)
+    newest = df.orderBy(F.desc("created_at"), F.desc(id_col)).limit(rows)
     return newest.withColumn("created_at", iso_time(F.col("created_at")))
 
 

@@ -83,13 +83,11 @@ def flag_duplicates(
     hot = hottest.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
     routed = df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     searching = F.col("_hot").isNull() & (F.col(key) != "")
-    routed = routed.withColumn("_search", F.when(searching, F.col(key))).withColumn(
-        "_lane", F.when(searching, -1).otherwise(F.spark_partition_id())
-    )
-    others = repeated.select(F.col(key).alias("_key"), F.lit(-1).alias("_key_lane"))
-    joined = routed.join(
-        others, (F.col("_search") == F.col("_key")) & (F.col("_lane") == F.col("_key_lane")), "left"
-    )
+    # 'p<number>' matches no 'k<key>'; it only deals these rows out over the join's tasks
+    elsewhere = F.concat(F.lit("p"), F.spark_partition_id().cast("string"))
+    routed = routed.withColumn("_search", F.when(searching, F.concat(F.lit("k"), key)).otherwise(elsewhere))
+    others = repeated.select(F.concat(F.lit("k"), key).alias("_key"))
+    joined = routed.join(others, F.col("_search") == F.col("_key"), "left")
     flagged = F.col("_hot").isNotNull() | F.col("_key").isNotNull()
     return joined.select(*columns, flagged.alias("is_duplicate"))
 

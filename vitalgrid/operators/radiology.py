@@ -13,8 +13,6 @@ from vitalgrid.functions.arrays import literals, lookup, nth, present
 from vitalgrid.functions.records import derived_id, document, iso_time
 from vitalgrid.functions.text import report_key
 
-EVENT_STRUCT = "struct<event_id:string,created_at:timestamp,source:string,severity:string,event_type:string,message:string,metadata:string,resolved:boolean>"
-
 
 def argmax_class(df: DataFrame, probabilities: str, labels: Sequence[str]) -> DataFrame:
     """``prediction_class`` and its ``confidence``; the first label wins ties."""
