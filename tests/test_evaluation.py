@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid import domain
-from vitalgrid.operators import evaluation, forest, triage
+from vitalgrid.operators import evaluation, forest
 from vitalgrid.plans import model as model_queries
+from vitalgrid.session import materialize
 
 MATRIX = [[114, 2, 0], [2, 287, 28], [3, 43, 809]]
 LABELS = domain.MODEL_CLASSES
@@ -86,19 +87,18 @@ def test_epoch_metrics(spark):
 
 
 def test_forest_learns_and_survives_storage(spark, tmp_path):
-    rows = model_queries.labelled(spark, "/root/testdata/sf0.001")
+    rows = forest.feature_table(model_queries.labelled(spark, "/root/testdata/sf0.001"), "severity_label")
     path = str(tmp_path / "model")
-    model, metrics = forest.train_and_report(rows, "severity_label", path, trees=8, depth=8, folds=2)
+    model, metrics = forest.train_and_report(rows, "severity_label", path, trees=5, depth=7, folds=2)
     row = metrics.first()
     majority = rows.groupBy("severity_label").count().orderBy(F.desc("count")).first()["count"] / rows.count()
     assert row.accuracy > majority + 0.1
     assert row.training_samples + row.test_samples == rows.count()
     assert sum(row.confusion_matrix.values()) == row.test_samples
-    requests = triage.feature_vector(rows)
-    scored = forest.score(model, requests)
+    scored = materialize(forest.score(model, rows), "scored")
     total = scored.select(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x).alias("s"))
     assert total.filter(F.abs(F.col("s") - 1) > 1e-9).count() == 0
-    again = forest.score(forest.load(spark, path), requests)
+    again = forest.score(forest.load(spark, path), rows)
     key = F.sum(F.xxhash64("triage_id", F.transform("probabilities", lambda p: F.round(p, 9))) % 1000003)
     assert scored.agg(key).first() == again.agg(key).first()
     importances = forest.feature_importances(model, spark)

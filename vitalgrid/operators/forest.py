@@ -110,7 +110,8 @@ def score(model: CalibratedForest, rows: DataFrame) -> DataFrame:
     """``probabilities`` array: calibrated per label, normalised, averaged over the folds.
 
     A fold that calibrates every label to zero gives equal probabilities. One pass
-    without a shuffle; ``features`` may be an array or a vector.
+    without a shuffle; ``features`` may be an array or a vector. Store the result before
+    filtering on it: a filter is pushed below the scoring and would repeat it.
     """
     kept = rows.columns
     k = len(model.labels)
@@ -177,16 +178,15 @@ def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str,
     return body.withColumn("document", document(F.struct(*body.columns)))
 
 
-def train_and_report(labelled: DataFrame, label: str, path: str, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS):
-    """Split, train, save and evaluate. Returns the model and its metrics document."""
+def train_and_report(table: DataFrame, label: str, path: str, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS):
+    """Split a feature table, train, save and evaluate: the model and its metrics document."""
     started = perf_counter()
-    table = feature_table(labelled, label)
     parts = materialize(evaluation.stratified_split(table, label, "triage_id", TEST_RATIO, seed), "parts")
     train = parts.filter("subset = 'train'")
     test = parts.filter("subset = 'val'")
     rows = materialize(training_rows(train, label), "training-rows")
     model = train_calibrated(rows, trees=trees, depth=depth, seed=seed, folds=folds)
-    save(model, labelled.sparkSession, path)
+    save(model, table.sparkSession, path)
     scored = score(model, test)
     metrics = training_metrics(scored, model, actual=label, training_rows=train.count(), seconds=round(perf_counter() - started, 2))
     return model, metrics

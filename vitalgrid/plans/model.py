@@ -30,8 +30,9 @@ def trained(spark, d) -> tuple[str, str]:
     key = (spark.sparkContext.applicationId, d)
     if key not in _trained:
         model_path, metrics_path = scratch_path(spark, "model"), scratch_path(spark, "model-metrics")
+        table = forest.feature_table(labelled(spark, d), "severity_label")
         _, metrics = forest.train_and_report(
-            labelled(spark, d), "severity_label", model_path, trees=TREES, depth=DEPTH, folds=FOLDS, seed=SEED
+            table, "severity_label", model_path, trees=TREES, depth=DEPTH, folds=FOLDS, seed=SEED
         )
         metrics.write.parquet(metrics_path)
         _trained[key] = (model_path, metrics_path)
