@@ -111,6 +111,29 @@ def test_model_assessment_alerts_and_fallback(spark):
     assert rows["c"].risk_level == "low"
 
 
+def test_hot_requests_are_split_over_the_join(spark):
+    """One key holds a third of the requests; its partition is read by several tasks."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        requests = spark.range(0, 12_000, 1, 8).select(
+            F.col("id").cast("string").alias("triage_id"), F.lit("n").alias("patient_name"), F.array(F.lit("fever")).alias("symptoms"),
+            F.create_map(F.lit("age"), F.lit("30")).alias("vitals"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("ref_id"),
+        )
+        scores = spark.range(1, 20_000).select(F.col("id").alias("vec_id"), F.array(*[F.lit(p) for p in (0.1, 0.2, 0.3, 0.4)]).alias("probabilities"))
+        result = triage.assess(requests, scores).select("triage_id", "ref_id", "model_name")
+        rows = result.collect()
+        assert "skew=true" in result._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 12_000 and {r.model_name for r in rows} == {domain.FOREST_MODEL_NAME}
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+
+
 def test_label_noise_moves_about_the_rate_by_one_step(spark):
     df = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.lit("medium").alias("label"))
     got = dict(triage.label_noise(df, "label", 0.1, 1, "id").groupBy("label").count().collect())

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from vitalgrid import domain
 from vitalgrid.functions import arrays
 from vitalgrid.functions.numeric import round_exact
+from vitalgrid.functions.records import iso_time
 from vitalgrid.operators import images, metrics, presentation, radiology
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.views import case, iso, joined, quoted, round_exact as sql_round, text_list
-from vitalgrid.session import scratch_path
-from vitalgrid.sources import clinical, readers, tables
+from vitalgrid.session import scratch_path, spread
+from vitalgrid.sources import clinical, readers, registered, tables
 
 BUCKET = "clinical-reports"
 
 
 def records(spark, d):
-    return radiology.study_records(clinical.predictions(spark, d), BUCKET)
+    return radiology.study_records(spread(clinical.predictions(spark, d)), BUCKET)
 
 
 def stored(df):
@@ -54,8 +55,6 @@ def study_alerts(spark, d):
     SELECT study_id, md5(study_id || '|' || event_type) AS event_id, {iso('created_at')} AS created_at, 'radiology' AS source,
            severity, event_type, message, study_id AS metadata_study, FALSE AS resolved FROM v_study_events""")
 def derive_quality_events(spark, d):
-    from vitalgrid.functions.records import iso_time
-
     events = radiology.derive_quality_events(radiology.quality_flags(clinical.predictions(spark, d)))
     return events.select(
         "study_id", "event_id", iso_time(F.col("created_at")).alias("created_at"), "source", "severity", "event_type",
@@ -210,8 +209,6 @@ def quality_event_append(spark, d):
 @query("register_study", """
     SELECT study_id, prediction_class, quality_status, (SELECT count(*) FROM v_study_events e WHERE e.study_id = f.study_id) AS events FROM v_flagged f""")
 def register_study(spark, d):
-    from vitalgrid.sources import registered
-
     store = scratch_path(spark, "registered")
     registered.register_studies(records(spark, d), store, "batch-1")
     studies = registered.load_studies(spark, store)
@@ -222,8 +219,6 @@ def register_study(spark, d):
 
 @query("registered_events", "SELECT study_id, severity, event_type FROM v_study_events")
 def registered_events(spark, d):
-    from vitalgrid.sources import registered
-
     store = scratch_path(spark, "registered")
     registered.register_studies(records(spark, d), store, "batch-1")
     return registered.load_events(spark, store).select("study_id", "severity", "event_type")

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from vitalgrid import domain
 from vitalgrid.functions import arrays
-from vitalgrid.operators import presentation, triage
+from vitalgrid.operators import metrics, presentation, triage
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.views import case, joined, number, quoted, round_exact as sql_round, strip, text_list
 from vitalgrid.session import scratch_path
-from vitalgrid.sources import clinical, tables
+from vitalgrid.sources import clinical, registered, tables
 
 # a stand-in for the importances of a trained forest: earlier features weigh more
 IMPORTANCES = [round(0.12 - 0.007 * i, 4) for i in range(len(domain.FEATURES))]
@@ -235,14 +235,11 @@ def top_contributors(spark, d):
            triage_id AS document_id, risk_level AS document_risk, CAST(len(symptoms) AS INTEGER) AS document_symptoms, heart_rate AS document_heart_rate
     FROM (SELECT a.*, t.heart_rate FROM v_assess a JOIN v_triage t USING (triage_id)) x""")
 def register_triage(spark, d):
-    """Records appended to the triage table and documents stored, then read back and joined."""
+    """Records stored with their documents, then each document found by its key."""
     store = scratch_path(spark, "triage")
-    registered = triage.triage_records(assessed(spark, d), "clinical-reports")
-    tables.append(registered, store, "triage_records", "batch-1")
-    tables.write_documents(registered.withColumn("kind", F.lit("triage")), store, "batch-1")
-    records = tables.load(spark, store, "triage_records")
-    documents = tables.load_documents(spark, store).select("report_object_key", "document")
-    found = records.join(documents, "report_object_key")
+    registered.register_triages(triage.triage_records(assessed(spark, d), "clinical-reports"), store, "batch-1")
+    stored = registered.load_triages(spark, store)
+    found = metrics.report_lookup(stored.drop("document"), stored)
     return found.select(
         "id", "patient_id", "patient_name", "risk_level", "recommended_priority", "score", "confidence", "report_object_key",
         F.get_json_object("document", "$.triage_id").alias("document_id"),
@@ -264,8 +261,6 @@ def triage_append(spark, d):
     SELECT triage_id, score, risk_level FROM v_rules WHERE triage_id IN (SELECT triage_id FROM v_rules WHERE ref_id IN (SELECT vec_id FROM v_logits))""")
 def triage_by_id(spark, d):
     """Lookup of the requests that a model has scored, as a list of ids."""
-    from vitalgrid.operators import metrics
-
     rows = triage.rules_risk(requests(spark, d)).select("triage_id", "score", "risk_level")
     wanted = requests(spark, d).join(clinical.logits(spark, d), F.col("ref_id") == F.col("vec_id"), "left_semi").select("triage_id")
     return metrics.rows_by_id(rows, wanted, "triage_id")
