@@ -218,10 +218,11 @@ _VECTOR = (
 
 
 @query("top_contributors", f"""
-    SELECT triage_id, row_number() OVER (PARTITION BY triage_id ORDER BY weight DESC, i DESC) AS rank,
+    SELECT triage_id, row_number() OVER (PARTITION BY request ORDER BY weight DESC, i DESC) AS rank,
            {text_list(domain.FEATURES)}[i] AS feature, {sql_round("importance", 4)} AS importance, {sql_round("v", 2)} AS value
-    FROM (SELECT triage_id, i, {_IMPORTANCE}[i] AS importance, features[i] AS v, CASE WHEN features[i] <> 0 THEN {_IMPORTANCE}[i] ELSE 0e0 END AS weight
-          FROM (SELECT triage_id, {_VECTOR} AS features, unnest(range(1, {len(domain.FEATURES) + 1})) AS i FROM v_triage) t) u
+    FROM (SELECT request, triage_id, i, {_IMPORTANCE}[i] AS importance, features[i] AS v, CASE WHEN features[i] <> 0 THEN {_IMPORTANCE}[i] ELSE 0e0 END AS weight
+          FROM (SELECT request, triage_id, features, unnest(range(1, {len(domain.FEATURES) + 1})) AS i
+                FROM (SELECT row_number() OVER () AS request, triage_id, {_VECTOR} AS features FROM v_triage) s) t) u
     QUALIFY rank <= 3""")
 def top_contributors(spark, d):
     ranked = triage.top_contributors(triage.feature_vector(requests(spark, d)), IMPORTANCES)
