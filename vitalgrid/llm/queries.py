@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalgrid.llm import mixing
+from vitalgrid.llm import mixing, quality_rules
 from vitalgrid.llm.common import table
+from vitalgrid.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +60,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
     weights = mixing.cycle_weights(sized)
     return mixing.mix(None, weights, sized=sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; cutoffs by language from all labels."""
+    measured = materialize(quality_rules.measure(table(spark, sf_dir, "documents"), keep=("doc_id", "lang")), "rule-measures")
+    chosen = quality_rules.cutoffs(measured, table(spark, sf_dir, "labels"), "lang")
+    named = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules.judge(measured, chosen, "lang").select("doc.doc_id", *[f"m.{n}" for n in named], "base_failed", "kept", "failed_rules")
