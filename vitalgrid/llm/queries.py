@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import mixing, quality_rules
+from vitalgrid.llm import licenses, mixing, quality_rules
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
@@ -69,3 +69,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = quality_rules.cutoffs(measured, table(spark, sf_dir, "labels"), "lang")
     named = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality_rules.judge(measured, chosen, "lang").select("doc.doc_id", *[f"m.{n}" for n in named], "base_failed", "kept", "failed_rules")
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices, labels and evaluated expressions of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc.doc_id", "found.*")
