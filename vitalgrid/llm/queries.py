@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import licenses, mixing, quality_rules
+from vitalgrid.llm import licenses, mixing, quality_rules, simhash
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
@@ -75,3 +75,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices, labels and evaluated expressions of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc.doc_id", "found.*")
+
+
+@query("op10_simhash_near_duplicates")
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
