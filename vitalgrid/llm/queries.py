@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import licenses, mixing, quality_rules, simhash
+from vitalgrid.llm import licenses, mixing, quality_rules, simhash, token_counts
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
@@ -82,3 +82,9 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as the 32k piece model counts them."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
