@@ -109,9 +109,9 @@ def blocks_of(docs: DataFrame, terms: Terms, flag: Column, block_bytes: int = BL
     schema = T.StructType([T.StructField(c, k) for c, k in zip(COLUMNS, kinds)])
     path = scratch_path(spark, "blocks")
     docs.select("doc_id", flag.alias("flag"), "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema(schema).parquet(path)
-    documents = stored.where("places is not null").select("block", "doc_id", "flag", "n_bytes", "places", "counts")
-    return documents, stored.where("term is not null").select("block", "place", "term", "flagged")
+    stored = lambda: spark.read.schema(schema).parquet(path)  # noqa: E731  two readings, whose columns can be told apart in joins
+    documents = stored().where("places is not null").select("block", "doc_id", "flag", "n_bytes", "places", "counts")
+    return documents, stored().where("term is not null").select("block", "place", "term", "flagged")
 
 
 def sum_over_terms(documents: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import licenses, mixing, quality_rules, simhash, token_counts
+from vitalgrid.llm import lattice_lm, licenses, mixing, quality_rules, simhash, token_counts
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
@@ -88,3 +88,10 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document as the 32k piece model counts them."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lattice_scores")
+def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and lattice log probabilities of every document; a seventh is held out."""
+    scored = lattice_lm.score_documents(table(spark, sf_dir, "documents"), lattice_lm.not_held_out())
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
