@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import lattice_lm, licenses, mixing, quality_rules, simhash, token_counts
+from vitalgrid.llm import decontaminate, lattice_lm, licenses, mixing, quality_rules, simhash, token_counts
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
@@ -95,3 +95,33 @@ def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and lattice log probabilities of every document; a seventh is held out."""
     scored = lattice_lm.score_documents(table(spark, sf_dir, "documents"), lattice_lm.not_held_out())
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM documents),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM benchmark),
+iw AS (
+  SELECT item_id, least(len(words), 10) AS n, array_to_string(words[p : p + least(len(words), 10) - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS p FROM i WHERE len(words) > 0)),
+n AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, p, n, array_to_string(words[p : p + n - 1], ' ') AS w
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM w, n WHERE len(words) >= n)),
+h AS (SELECT DISTINCT doc_id, p, n, item_id FROM dw JOIN iw USING (n, w)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+@query("op8_decontaminate", OP8_SQL)
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark found in every document."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
