@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, lattice_lm, licenses, mixing, quality_rules, simhash, token_counts
+from vitalgrid.llm import decontaminate, lattice_lm, licenses, mixing, quality_rules, secrets, simhash, token_counts
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
@@ -125,3 +125,48 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark found in every document."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+OP9_SQL = r"""
+WITH k(no, kind, pattern, least_value) AS (VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+  (1, 'access', '(AKIA[A-Z0-9]+)', 20),
+  (2, 'hex', '([0-9a-f]+)', 24),
+  (3, 'private_key', '(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----)', 0),
+  (4, 'web_token', '(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', 0),
+  (5, 'code_host', '((?:gh[pousr]_|glpat-)[A-Za-z0-9_-]{20,})', 0),
+  (6, 'chat_bot', '(xox[abprs]-[A-Za-z0-9-]{10,})', 0),
+  (7, 'map_key', '(AIza[0-9A-Za-z_-]{35})', 0),
+  (8, 'url_login', '([a-z][a-z0-9+.-]*://[^\x00-\x20:/@]+:[^\x00-\x20:/@]+@)', 0)),
+m AS (
+  SELECT row, no, kind, least_value, regexp_extract_all(text, pattern) AS hits, regexp_extract_all(text, pattern, 1) AS vals, regexp_split_to_array(text, pattern) AS gaps
+  FROM (SELECT row_number() OVER () AS row, coalesce(text, '') AS text FROM documents), k),
+p AS (
+  SELECT row, no, kind, least_value, len(vals[i]) AS n,
+    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hits[i]) AS l
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) < 40 OR no <> 2)
+  UNION ALL
+  SELECT row, no, kind, least_value, length(h) AS n, s, length(h) AS l FROM (
+    SELECT row, no, kind, least_value, h, sum(g + length(h)) OVER (PARTITION BY row ORDER BY i) - length(h) AS s
+    FROM (SELECT row, no, kind, least_value, unnest(hits) AS h, unnest(list_transform(gaps[1:len(hits)], lambda x: length(x))) AS g, unnest(range(len(hits))) AS i FROM m WHERE len(hits) >= 40 AND no = 2))),
+f AS (SELECT row, no, kind, s::BIGINT AS s, kind || ':' || s::BIGINT || ':' || (s + l)::BIGINT AS span FROM p WHERE n >= least_value),
+a AS (
+  SELECT row, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(span, ',' ORDER BY s, no) AS spans
+  FROM f GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM (SELECT doc_id, row_number() OVER () AS row FROM documents) LEFT JOIN a USING (row)
+"""
+
+
+@query("op9_secret_scan", OP9_SQL)
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, each distinct text scanned once."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.describe(base), 256).alias("base_sha256"), secrets.describe(F.col("spans")).alias("spans"),
+    )
