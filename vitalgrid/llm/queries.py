@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, lattice_lm, licenses, mixing, quality_rules, secrets, simhash, token_counts
-from vitalgrid.llm.common import table
+from vitalgrid.llm import decontaminate, lattice_lm, licenses, mixing, quality_rules, secrets, simhash, token_counts, toxicity
+from vitalgrid.llm.common import fold, table
 from vitalgrid.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.describe(base), 256).alias("base_sha256"), secrets.describe(F.col("spans")).alias("spans"),
     )
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a third of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    classifier = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score(docs, classifier, keep=("doc_id",))
+    return scored.select("doc.doc_id", (fold(F.col("doc.doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
