@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, lattice_lm, licenses, mixing, quality_rules, secrets, simhash, token_counts, toxicity
+from vitalgrid.llm import decontaminate, lattice_lm, licenses, mixing, quality_knn, quality_rules, secrets, simhash, token_counts, toxicity
 from vitalgrid.llm.common import fold, table
 from vitalgrid.session import materialize
 
@@ -179,3 +179,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     classifier = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
     scored = toxicity.score(docs, classifier, keep=("doc_id",))
     return scored.select("doc.doc_id", (fold(F.col("doc.doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_quality_votes")
+def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a quarter of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    space = quality_knn.fit_on(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    scored = quality_knn.score(docs, space, keep=("doc_id",))
+    return scored.select("doc.doc_id", (fold(F.col("doc.doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
