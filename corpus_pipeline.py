@@ -5,13 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vitalgrid.llm import decontaminate, mixing, quality_rules, secrets, simhash
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: Fingerprints and learned cutoffs have no SQL form; the tests compare with brute force.
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules; cutoffs by language from the labels."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate component."""
+    return simhash.keep_one(docs)
+
+
+def leave_out_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked and their lengths counted again."""
+    masked = secrets.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast(masked.schema["n_chars"].dataType), "n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What a mix of weights 5, 2, 1 takes of the documents, and how often."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", keep_good),
+    ("simhash_near_dedup", keep_one_of_each),
+    ("decontamination", leave_out_benchmark),
+    ("secret_scan", mask_secrets),
+    ("mixing", mix_sources),
+]
+
+#: Fingerprints and certified cutoffs have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -115,31 +115,55 @@ def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return materialize(docs.select(doc_id.alias("doc_id"), docs[source_col].alias("source"), word_count(text).alias("size"), document_hash(doc_id, text).alias("hash")), "mix-sizes")
 
 
-def mix(
+def cuts(rows: DataFrame, weights: DataFrame, share: float = 1.0, max_repeats: float = 3.0) -> DataFrame:
+    """(of, source_size, target, repeats, threshold) for every source of ``rows`` (source, size, hash)."""
+    sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    wanted = materialize(targets(sizes, weights, share, max_repeats), "mix-targets")
+    return thresholds(rows.select("source", "size", "hash"), wanted).withColumnRenamed("source", "of")
+
+
+def copies() -> Column:
+    return F.col("repeats") + (F.col("hash") < F.col("threshold")).cast("long")
+
+
+def mix(sized: DataFrame, weights: DataFrame, share: float = 1.0, max_repeats: float = 3.0) -> DataFrame:
+    """How many words of each document a mix takes: (doc_id, source, size, source_size, target, taken, copies).
+
+    ``sized``: the result of ``sized_documents``, ``weights``: (source, weight). One row per row
+    of ``sized``. NULL text has no words, a NULL source is a source of its own, NULL ids are ids
+    like others; a source's documents of one hash, as rows equal in id and text, are taken all or
+    none. Empty tables give empty results.
+    """
+    cut = cuts(sized, weights, share, max_repeats)
+    joined = sized.join(cut, sized["source"].eqNullSafe(cut["of"]))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"), copies().alias("copies"))
+
+
+ADDED = ("size", "source_size", "target", "taken", "copies")
+
+
+def mixed_documents(
     docs: DataFrame,
-    weights: DataFrame,
+    weights: DataFrame | None = None,
     share: float = 1.0,
     max_repeats: float = 3.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    sized: DataFrame | None = None,
 ) -> DataFrame:
-    """How many words of each document the mix takes: (doc_id, source, hash, size, source_size, target, taken).
+    """The documents that a mix takes, with their columns and ADDED: what ``mix`` says of them.
 
-    ``weights``: (source, weight). One row per row of ``docs``. NULL text has no words,
-    a NULL source is a source of its own, NULL ids are ids like others; rows equal in id and
-    text share one fate; a source's documents of one hash are taken all or none. No other
-    column is read, whatever its name. Empty tables give empty results.
+    Documents of which nothing is taken are left out; ``copies`` says how often one is to be
+    used. ``weights`` are those of ``cycle_weights`` if not given. Columns of ``docs`` named
+    like one of ADDED give way to it.
     """
-    rows = sized if sized is not None else sized_documents(docs, id_col, text_col, source_col)
-    sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    cut = thresholds(rows.select("source", "size", "hash"), materialize(targets(sizes, weights, share, max_repeats), "mix-targets"))
-    cut = cut.withColumnRenamed("source", "of")
-    once_more = (F.col("hash") < F.col("threshold")).cast("long")
-    return rows.join(cut, rows["source"].eqNullSafe(cut["of"]), "left").select(
-        "doc_id", "source", "hash", "size", "source_size", "target", (F.col("size") * (F.col("repeats") + once_more)).alias("taken"), (F.col("repeats") + once_more).alias("copies")
-    )
+    sized = sized_documents(docs, id_col, text_col, source_col)
+    cut = cuts(sized, weights if weights is not None else cycle_weights(sized), share, max_repeats)
+    text = docs[text_col]
+    rows = docs.select(F.struct("*").alias("doc"), docs[source_col].alias("source"), word_count(text).alias("size"), document_hash(docs[id_col], text).alias("hash"))
+    joined = rows.join(cut, rows["source"].eqNullSafe(cut["of"])).where(copies() > 0)
+    taken = joined.withColumns({"taken": F.col("size") * copies(), "copies": copies()})
+    return taken.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
 
 
 def cycle_weights(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:

@@ -58,8 +58,7 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN x ON d.source IS NO
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to a mix of weights 5, 2, 1 with at most three repeats."""
     sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
-    weights = mixing.cycle_weights(sized)
-    return mixing.mix(None, weights, sized=sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(sized, mixing.cycle_weights(sized)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op4_quality_rules")
