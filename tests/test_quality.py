@@ -107,7 +107,8 @@ def test_job_stores_outcome_report_run_and_event(spark, tmp_path):
     store, output = str(tmp_path / "store"), str(tmp_path / "out")
     report = ingest.run_study_job(spark, csv(spark, tmp_path), output, store, run_id="r1").first()
     assert (report.status, report.processed_count, report.rejected_count) == ("completed_with_warnings", 6, 4)
-    assert report.metadata.duplicate_object_keys == ["uploads/twice.png"]
+    keys = spark.read.parquet(report.metadata.duplicate_object_keys_uri).collect()
+    assert [k.image_object_key for k in keys] == ["uploads/twice.png"]
     assert report.metadata.class_distribution == {"Sana": 2, "Neumonia": 2, "COVID-19": 2}
     assert {r.study_id for r in report.metadata.rejected_samples} == {"X7", "X8", "X9", "X10"}
     assert ingest.stored_outcome(spark, output, "accepted").count() == 6
@@ -141,14 +142,18 @@ def test_failing_job_is_recorded_and_raised(spark, tmp_path):
     assert (event.severity, event.event_type) == ("high", "pipeline_failure")
 
 
-def test_report_lists_keys_up_to_its_limit(spark):
-    rows = [(f"S{i}", "1", "F", f"k{i // 2}", "Sana") for i in range(10)]
-    assessed = quality.assess_batch(batch(spark, rows))
+def test_report_has_all_keys_whatever_their_number(spark, tmp_path):
+    rows = spark.range(50_000).select(
+        F.concat(F.lit("S"), "id").alias("study_id"), F.lit("1").alias("patient_age"), F.lit("F").alias("patient_sex"),
+        F.concat(F.lit("k"), F.col("id") % 12_500).alias("image_object_key"), F.lit("Sana").alias("label"),
+        F.lit("2026-04-01").alias("acquisition_date"), F.lit("site").alias("source"),
+    )
     details = {"run_id": "r", "created_at": F.current_timestamp(), "finished_at": F.current_timestamp(), "input_uri": "i", "output_uri": "o"}
-    full = ingest.run_report(assessed, **details).first().metadata
-    short = ingest.run_report(assessed, listed_keys=3, **details).first().metadata
-    assert full.duplicate_object_keys == [f"k{i}" for i in range(5)]
-    assert short.duplicate_object_keys == [] and short.duplicate_key_count == 5
+    report = ingest.run_report(quality.normalize(rows), str(tmp_path), **details).first()
+    assert (report.metadata.duplicate_key_count, report.rejected_count, len(report.metadata.rejected_samples)) == (12_500, 50_000, 25)
+    keys = spark.read.parquet(report.metadata.duplicate_object_keys_uri)
+    assert {(r.image_object_key, r.records) for r in keys.collect()} == {(f"k{i}", 4) for i in range(12_500)}
+    assert ingest.stored_keys(spark, str(tmp_path)).where("run_id = 'r'").count() == 12_500
 
 
 def test_stream_keeps_first_arrivals(spark, tmp_path):

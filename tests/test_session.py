@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from vitalgrid.session import materialize, scratch_path, shared_dir, spread
+from vitalgrid.session import materialize, scratch_path, shared_dir
 
 
 def test_scratch_tables_go_to_the_configured_folder(spark):
@@ -19,7 +20,21 @@ def test_materialize_keeps_rows_and_cuts_the_plan(spark, capsys):
     assert stored.agg(F.sum("id")).first()[0] == 45
 
 
-def test_spread_leaves_tables_of_many_pieces_alone(spark):
-    many = spark.range(0, 100, 1, 64)
-    assert spread(many) is many
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_only_a_local_master_may_use_a_temporary_folder():
+    class Session:
+        def __init__(self, **conf):
+            self.values = {k.replace("_", "."): v for k, v in conf.items()}
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    for master in ("local", "local[4]", "local[*]"):
+        session = Session(spark_master=master)
+        assert shared_dir(session) == session.get("spark.checkpoint.dir") != ""
+    for conf in ({"spark_master": "local-cluster[2,1,1024]"}, {"spark_master": "yarn"}, {}):
+        with pytest.raises(RuntimeError):
+            shared_dir(Session(**conf))

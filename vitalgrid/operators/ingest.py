@@ -20,9 +20,17 @@ from vitalgrid.session import materialize
 from vitalgrid.sources import tables
 from vitalgrid.sources.readers import scan_studies
 
-# A report lists its repeated keys while there are at most this many; the complete list
-# is always in the duplicate_keys table.
-LISTED_KEYS = 10_000
+
+def store_keys(repeated: DataFrame, store: str, run_id: str) -> tuple[DataFrame, str]:
+    """The complete table of a run's repeated keys, stored and read back, and its place."""
+    path = f"{store}/duplicate_keys/run_id={run_id}"
+    repeated.write.mode("overwrite").parquet(path)
+    return repeated.sparkSession.read.schema(repeated.schema).parquet(path), path
+
+
+def stored_keys(spark: SparkSession, store: str) -> DataFrame:
+    """Repeated keys of all runs, with their run_id."""
+    return spark.read.schema(f"{domain.OBJECT_KEY} string, records long, run_id string").parquet(f"{store}/duplicate_keys")
 
 
 def _status(rejected_count: Column) -> Column:
@@ -49,6 +57,7 @@ def _distribution(labels: Sequence[str]) -> Column:
 def compose_report(
     counts: DataFrame,
     duplicates: DataFrame,
+    duplicates_uri: str,
     samples: DataFrame,
     *,
     run_id: str,
@@ -56,28 +65,21 @@ def compose_report(
     finished_at: Column,
     input_uri: str,
     output_uri: str,
-    key: str = domain.OBJECT_KEY,
     required: Sequence[str] = domain.REQUIRED_COLUMNS,
     labels: Sequence[str] = domain.VALID_LABELS,
-    listed_keys: int = LISTED_KEYS,
 ) -> DataFrame:
     """One report row from the one row of ``counts``.
 
-    ``samples`` is a bounded sample of rejected rows. Of ``duplicates`` no more than
-    ``listed_keys + 1`` are gathered; above the limit the list is left empty, the count
-    stays exact, and the complete list is the table itself.
+    ``samples`` is a bounded sample of rejected rows. The repeated keys are a table of their
+    own, whatever their number; the report says how many there are and where.
     """
-    shown = duplicates.select(key).orderBy(key).limit(listed_keys + 1)
-    shown = shown.agg(F.sort_array(F.collect_list(key)).alias("keys"))
     sample = samples.agg(F.sort_array(F.collect_list(F.struct(*samples.columns))).alias("rows"))
     base = counts.withColumns(
         {
             "duplicate_key_count": duplicates.agg(F.count(F.lit(1))).scalar(),
-            "shown_keys": shown.scalar(),
             "rejected_samples": sample.scalar(),
         }
     )
-    all_shown = F.size("shown_keys") <= listed_keys
     return base.select(
         F.lit(run_id).alias("run_id"),
         iso_time(created_at).alias("created_at"),
@@ -90,7 +92,7 @@ def compose_report(
         F.struct(
             literals(required).alias("required_columns"),
             literals(labels).alias("valid_labels"),
-            F.when(all_shown, F.col("shown_keys")).otherwise(F.array().cast("array<string>")).alias("duplicate_object_keys"),
+            F.lit(duplicates_uri).alias("duplicate_object_keys_uri"),
             F.col("duplicate_key_count"),
             _distribution(labels).alias("class_distribution"),
             F.col("rejected_samples"),
@@ -99,12 +101,17 @@ def compose_report(
 
 
 def run_report(
-    assessed: DataFrame, *, key: str = domain.OBJECT_KEY, labels: Sequence[str] = domain.VALID_LABELS, **details
+    normalized: DataFrame, store: str, *, run_id: str, key: str = domain.OBJECT_KEY, labels: Sequence[str] = domain.VALID_LABELS, **details
 ) -> DataFrame:
-    """Report of an assessed batch, without running the whole job."""
-    repeated = quality.duplicate_keys(assessed, key)
+    """Report of a normalised batch, without running the whole job.
+
+    The batch is read for its keys, then once more to be assessed; counts and samples come
+    from the stored assessment.
+    """
+    repeated, path = store_keys(quality.duplicate_keys(normalized, key), store, run_id)
+    assessed = materialize(quality.judge(quality.flag_duplicates(normalized, key, repeated), labels=labels), "assessed")
     samples = quality.rejected_samples(assessed)
-    return compose_report(assessed.agg(*batch_counts(labels)), repeated, samples, key=key, labels=labels, **details)
+    return compose_report(assessed.agg(*batch_counts(labels)), repeated, path, samples, run_id=run_id, labels=labels, **details)
 
 
 def failure_report(
@@ -193,15 +200,14 @@ def run_study_job(
     details["created_at"] = F.lit(datetime.now(timezone.utc))
     try:
         batch = quality.normalize(scan_studies(spark, input_uri))
-        path = f"{store}/duplicate_keys/run_id={run_id}"
-        quality.duplicate_keys(batch).write.mode("overwrite").parquet(path)
-        repeated = spark.read.schema(f"{domain.OBJECT_KEY} string, records long").parquet(path)
+        repeated, path = store_keys(quality.duplicate_keys(batch), store, run_id)
         assessed = quality.judge(quality.flag_duplicates(batch, repeated=repeated))
         counts = store_outcome(assessed, output_uri)
         lost = stored_outcome(spark, output_uri, "rejected")
         report = compose_report(
             spark.range(1).select(*[F.lit(n).alias(name) for name, n in counts.items()]),
             repeated,
+            path,
             lost.orderBy(*lost.columns).limit(domain.REJECTED_SAMPLE_ROWS),
             finished_at=F.lit(datetime.now(timezone.utc)),
             **details,

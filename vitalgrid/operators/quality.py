@@ -160,18 +160,13 @@ def class_distribution(accepted_rows: DataFrame) -> DataFrame:
     return accepted_rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def partition_invariant(normalized: DataFrame, accepted_rows: DataFrame, rejected_rows: DataFrame) -> DataFrame:
-    """One row: rows missing from both sides, rows in excess, rows on both sides.
+def _side(rows: DataFrame, columns: Sequence[str], i: Column | int, a: Column | int, r: Column | int) -> DataFrame:
+    tags = {"i": i, "a": a, "r": r}
+    return rows.select(*columns, *[(t if isinstance(t, Column) else F.lit(t)).cast("int").alias(n) for n, t in tags.items()])
 
-    All three are zero for a proper split. Copies are counted, not listed: one shuffle
-    of distinct rows, combined beforehand.
-    """
-    columns = normalized.columns
-    tagged = (
-        normalized.select(*columns, F.lit(1).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("r"))
-        .unionByName(accepted_rows.select(*columns, F.lit(0).alias("i"), F.lit(1).alias("a"), F.lit(0).alias("r")))
-        .unionByName(rejected_rows.select(*columns, F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(1).alias("r")))
-    )
+
+def _balance(tagged: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Copies are counted, not listed: one shuffle of distinct rows, combined beforehand."""
     per_row = tagged.groupBy(*columns).agg(F.sum("i").alias("i"), F.sum("a").alias("a"), F.sum("r").alias("r"))
     zero = F.lit(0)
 
@@ -185,3 +180,19 @@ def partition_invariant(normalized: DataFrame, accepted_rows: DataFrame, rejecte
         total(F.greatest(F.col("a") + F.col("r") - F.col("i"), zero)).alias("excess_rows"),
         total(F.least("a", "r")).alias("rows_on_both_sides"),
     )
+
+
+def partition_invariant(normalized: DataFrame, accepted_rows: DataFrame, rejected_rows: DataFrame) -> DataFrame:
+    """One row: rows missing from both sides, rows in excess, rows on both sides.
+
+    All three are zero for a proper split.
+    """
+    columns = normalized.columns
+    tagged = _side(normalized, columns, 1, 0, 0).unionByName(_side(accepted_rows, columns, 0, 1, 0))
+    return _balance(tagged.unionByName(_side(rejected_rows, columns, 0, 0, 1)), columns)
+
+
+def verdict_invariant(normalized: DataFrame, assessed: DataFrame) -> DataFrame:
+    """``partition_invariant`` of an assessed batch, which is read once: its verdict tells the side."""
+    columns, good = normalized.columns, F.col("is_accepted")
+    return _balance(_side(normalized, columns, 1, 0, 0).unionByName(_side(assessed, columns, 0, good, ~good)), columns)

@@ -117,13 +117,13 @@ def class_distribution(spark, d):
     SELECT count(*) AS input_rows, count(*) AS output_rows, CAST(0 AS BIGINT) AS missing_rows,
            CAST(0 AS BIGINT) AS excess_rows, CAST(0 AS BIGINT) AS rows_on_both_sides FROM v_studies""")
 def partition_invariant(spark, d):
-    assessed = _assessed(spark, d)
-    return quality.partition_invariant(_normalized(spark, d), quality.accepted(assessed), quality.rejected(assessed))
+    return quality.verdict_invariant(_normalized(spark, d), _assessed(spark, d))
 
 
-def _report(spark, d):
+def _report(spark, d, store):
     return ingest.run_report(
-        _assessed(spark, d),
+        _normalized(spark, d),
+        store,
         run_id="run-1",
         created_at=F.timestamp_seconds(F.lit(1_767_225_600)),
         finished_at=F.timestamp_seconds(F.lit(1_767_225_660)),
@@ -141,22 +141,29 @@ def _report(spark, d):
            count(*) FILTER (WHERE is_accepted AND label = 'Neumonia') AS neumonia,
            count(*) FILTER (WHERE is_accepted AND label = 'COVID-19') AS covid,
            count(DISTINCT image_object_key) FILTER (WHERE is_duplicate) AS duplicate_key_count,
-           (SELECT md5(string_agg(k, ',' ORDER BY k)) FROM (SELECT DISTINCT image_object_key AS k FROM v_assessed WHERE is_duplicate) t) AS duplicate_keys_md5,
            least(25, count(*) FILTER (WHERE NOT is_accepted)) AS sample_rows
     FROM v_assessed""")
 def run_report(spark, d):
     distribution = F.col("metadata.class_distribution")
-    return _report(spark, d).select(
+    return _report(spark, d, scratch_path(spark, "store")).select(
         "run_id", "created_at", "finished_at", "status", "input_uri", "output_uri", "processed_count", "rejected_count",
         distribution["Sana"].alias("sana"),
         distribution["Neumonia"].alias("neumonia"),
         distribution["COVID-19"].alias("covid"),
         "metadata.duplicate_key_count",
-        F.md5(F.array_join("metadata.duplicate_object_keys", ",")).alias("duplicate_keys_md5"),
         F.size("metadata.rejected_samples").cast("long").alias("sample_rows"),
     )
 
 
+@query("run_report_keys", """
+    SELECT 'run-1' AS run_id, image_object_key, count(*) AS records FROM v_assessed WHERE is_duplicate GROUP BY image_object_key""")
+def run_report_keys(spark, d):
+    """The complete table of repeated keys that a report points to."""
+    store = scratch_path(spark, "store")
+    report = _report(spark, d, store)
+    return ingest.stored_keys(spark, store).join(report.select("run_id"), "run_id").select("run_id", domain.OBJECT_KEY, "records")
+
+
 @query("study_ingest_job", """
     SELECT CASE WHEN count(*) FILTER (WHERE NOT is_accepted) > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status,
            count(*) FILTER (WHERE is_accepted) AS processed_count, count(*) FILTER (WHERE NOT is_accepted) AS rejected_count,
