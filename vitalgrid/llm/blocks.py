@@ -15,6 +15,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +25,22 @@ from vitalgrid.session import scratch_path
 
 #: UTF-8 bytes of text after which a block is closed.
 BLOCK_BYTES = 16 << 20
-COLUMNS = ("block", "doc_id", "flag", "n_bytes", "places", "counts", "place", "term", "flagged")
-KINDS = (pa.int64(), None, pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int64())
+#: Of a block's documents: their ids, flags, bytes and numbers of distinct terms, and all vectors together.
+#: Of a dictionary entry: its place, term, and frequency in flagged documents.
+COLUMNS = ("block", "doc_id", "flag", "n_bytes", "distinct", "vectors", "place", "term", "flagged")
 
 Terms = Callable[[str], list]
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Increasing places as differences: small numbers, which compress well."""
-    return np.diff(numbers, prepend=0).astype("<u4").tobytes()
+def pack(steps: np.ndarray, counts: np.ndarray) -> bytes:
+    """Two columns of small numbers, byte by byte: the upper bytes are nearly all zero."""
+    return zstandard.compress(np.stack([steps, counts]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4"), dtype=np.int64)
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    steps, counts = np.ascontiguousarray(planes.T).view("<u4").astype(np.int64).reshape(2, -1)
+    return steps, counts
 
 
 class _Block:
@@ -60,21 +64,25 @@ class _Block:
         names = sorted(self.places)
         rank = np.empty(len(names), np.int64)
         rank[np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
-        flagged, packed = np.zeros(len(names), np.int64), []
+        flagged, steps = np.zeros(len(names), np.int64), []
         for flag, (places, counts) in zip(self.flags, self.vectors):
             ranked = rank[places]
             if flag:
                 flagged[ranked] += counts
             order = np.argsort(ranked)
-            packed.append((pack(ranked[order]), counts[order].astype("<u4").tobytes()))
-        yield self._batch(block, id_type, len(self.ids), doc_id=pa.array(self.ids, id_type), flag=self.flags, n_bytes=self.sizes, places=[p for p, _ in packed], counts=[c for _, c in packed])
+            steps.append((np.diff(ranked[order], prepend=0), counts[order]))
+        vectors = pack(*(np.concatenate(x) for x in zip(*steps)))
+        distinct = pa.array([[len(places) for places, _ in self.vectors]], pa.list_(pa.int32()))
+        of_documents = {"doc_id": pa.array([self.ids], pa.list_(id_type)), "flag": [self.flags], "n_bytes": [self.sizes]}
+        yield self._batch(block, id_type, 1, **of_documents, distinct=distinct, vectors=[vectors])
         for start in range(0, len(names), 50_000):
             some = slice(start, start + 50_000)
             yield self._batch(block, id_type, len(names[some]), place=np.arange(len(names), dtype=np.int32)[some], term=names[some], flagged=flagged[some])
 
     @staticmethod
     def _batch(block: int, id_type: pa.DataType, rows: int, **columns) -> pa.RecordBatch:
-        kinds = [id_type if k is None else k for k in KINDS]
+        lists = (pa.list_(k) for k in (id_type, pa.bool_(), pa.int64(), pa.int32()))
+        kinds = [pa.int64(), *lists, pa.binary(), pa.int32(), pa.string(), pa.int64()]
         given = {"block": np.full(rows, block), **columns}
         arrays = [pa.array(given[c], k) if c in given else pa.nulls(rows, k) for c, k in zip(COLUMNS, kinds)]
         return pa.RecordBatch.from_arrays(arrays, list(COLUMNS))
@@ -83,9 +91,9 @@ class _Block:
 def blocks_of(docs: DataFrame, terms: Terms, flag: Column, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """``docs`` (doc_id, text without NULLs) as stored blocks.
 
-    Two tables: documents (block, doc_id, flag, n_bytes, places, counts), one row per row of
-    ``docs``; and dictionaries (block, place, term, flagged), ``flagged`` the frequency of the
-    term in the block's documents with a true ``flag``. Blocks are numbered by the task that
+    Two tables: documents (block, doc_id, flag, n_bytes, distinct, vectors), one row per block,
+    with an entry of the arrays for every row of ``docs``; and dictionaries (block, place, term,
+    flagged), ``flagged`` the frequency of the term in the block's documents with a true ``flag``. Blocks are numbered by the task that
     makes them; as both tables come from one stored write, a repeated task cannot mix two
     numberings.
     """
@@ -105,12 +113,13 @@ def blocks_of(docs: DataFrame, terms: Terms, flag: Column, block_bytes: int = BL
         if block.ids:
             yield from block.rows(next(numbers), kind)
 
-    kinds = (T.LongType(), id_field.dataType, T.BooleanType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.IntegerType(), T.StringType(), T.LongType())
+    lists = (T.ArrayType(k) for k in (id_field.dataType, T.BooleanType(), T.LongType(), T.IntegerType()))
+    kinds = (T.LongType(), *lists, T.BinaryType(), T.IntegerType(), T.StringType(), T.LongType())
     schema = T.StructType([T.StructField(c, k) for c, k in zip(COLUMNS, kinds)])
     path = scratch_path(spark, "blocks")
     docs.select("doc_id", flag.alias("flag"), "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     stored = lambda: spark.read.schema(schema).parquet(path)  # noqa: E731  two readings, whose columns can be told apart in joins
-    documents = stored().where("places is not null").select("block", "doc_id", "flag", "n_bytes", "places", "counts")
+    documents = stored().where("vectors is not null").select("block", "doc_id", "flag", "n_bytes", "distinct", "vectors")
     return documents, stored().where("term is not null").select("block", "place", "term", "flagged")
 
 
@@ -120,18 +129,24 @@ def sum_over_terms(documents: DataFrame, values: DataFrame, names: list[str]) ->
     ``values``: (block, place, *names), one row for every dictionary entry. ``n_terms`` is the
     number of terms with repeats, the others the sums of frequency times value.
     """
-    out = T.StructType([documents.schema["doc_id"], documents.schema["flag"], documents.schema["n_bytes"], T.StructField("n_terms", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+    of_documents = [T.StructField(n, documents.schema[n].dataType.elementType) for n in ("doc_id", "flag", "n_bytes")]
+    out = T.StructType([*of_documents, T.StructField("n_terms", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            raise ValueError("values of a block without documents")
         places = found.column("place").to_numpy()
         grid = np.zeros((len(names), len(places)))
         for row, name in enumerate(names):
             grid[row, places] = found.column(name).to_numpy()
-        sums, terms = np.zeros((len(names), docs.num_rows)), np.zeros(docs.num_rows, np.int64)
-        for row, (where, how_often) in enumerate(zip(docs.column("places"), docs.column("counts"))):
-            counts = np.frombuffer(how_often.as_py(), "<u4").astype(np.int64)
-            terms[row] = counts.sum()
-            sums[:, row] = grid[:, unpack(where.as_py())] @ counts
-        return pa.table([docs.column("doc_id"), docs.column("flag"), docs.column("n_bytes"), pa.array(terms), *map(pa.array, sums)], names=[f.name for f in out])
+        distinct = np.array(docs.column("distinct")[0].as_py(), np.int64)
+        steps, counts = unpack(docs.column("vectors")[0].as_py())
+        sums, terms, start = np.zeros((len(names), len(distinct))), np.zeros(len(distinct), np.int64), 0
+        for row, size in enumerate(distinct):
+            how_often = counts[start : start + size]
+            terms[row] = how_often.sum()
+            sums[:, row] = grid[:, np.cumsum(steps[start : start + size])] @ how_often
+            start += size
+        return pa.table([*(docs.column(f.name)[0].values for f in of_documents), pa.array(terms), *map(pa.array, sums)], names=[f.name for f in out])
 
     return documents.groupBy("block").cogroup(values.select("block", "place", *names).groupBy("block")).applyInArrow(run, out)
