@@ -100,7 +100,7 @@ def count_pieces(dictionaries: DataFrame, path: str) -> DataFrame:
             last, last_pieces = distinct[codes[-1]], pieces[codes[-1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces[codes].astype(np.int32))], ["block", "place", "pieces"])
 
-    sorted_terms = dictionaries.select("block", "place", "term").repartition("term").sortWithinPartitions("term")
+    sorted_terms = dictionaries.select("block", "place", "term").repartitionByRange("term").sortWithinPartitions("term")
     return sorted_terms.mapInArrow(run, "block long, place int, pieces int")
 
 
