@@ -111,6 +111,22 @@ def test_model_assessment_alerts_and_fallback(spark):
     assert rows["c"].risk_level == "low"
 
 
+def test_answers_of_the_rules_carry_nothing_of_the_model(spark):
+    urgent = {"heart_rate": "130", "oxygen_saturation": "80", "systolic_bp": "80"}
+    requests = spark.createDataFrame([("m", "n", ["Chest Pain"], urgent, 1), ("r", "n", ["Chest Pain"], urgent, 2)], REQUEST + ", ref_id long")
+    scores = spark.createDataFrame([(1, [0.1, 0.2, 0.2, 0.5])], "vec_id long, probabilities array<double>")
+    weights = [0.1] * len(domain.FEATURES)
+    rows = {r.triage_id: r for r in triage.assess(requests, scores, importances=weights).collect()}
+    assert rows["r"].risk_level == "critical" and rows["r"].alerts == []
+    nothing = ("model_version", "model_family", "clinical_note", "contributors", "probability_map")
+    assert [rows["r"][c] for c in nothing] == [None] * len(nothing)
+    assert (rows["m"].model_version, rows["m"].model_family) == ("1.0.0", "random_forest_isotonic_calibration")
+    assert rows["m"].clinical_note.startswith("Salida del modelo de triaje.") and len(rows["m"].contributors) == 3
+    records = {r.id: json.loads(r.model_response) for r in triage.triage_records(triage.assess(requests, scores, importances=weights).withColumn("created_at", F.current_timestamp()), "b").collect()}
+    assert set(records["r"]) == {"model_name", "risk_level", "recommended_priority", "score", "confidence"}
+    assert set(records["m"]) == set(records["r"]) | {"model_version", "model_family", "probabilities", "top_contributors", "alerts", "clinical_note"}
+
+
 def test_hot_requests_are_split_over_the_join(spark):
     """One key holds a third of the requests; its partition is read by several tasks."""
     conf = {

@@ -57,10 +57,11 @@ def test_golden_class_weights_and_split_sizes(spark):
     assert sizes == {"COVID-19": 92, "Sana": 253, "Neumonia": 684}
 
 
-@pytest.mark.parametrize("digits", [1, 2, 4])
-def test_split_equals_a_rank_per_label(spark, monkeypatch, digits):
-    """Few buckets put many ids into the one the cut falls into."""
+@pytest.mark.parametrize("digits, ordered", [(1, 10_000), (2, 10_000), (4, 10_000), (1, 2)])
+def test_split_equals_a_rank_per_label(spark, monkeypatch, digits, ordered):
+    """Few buckets put many ids into the one the cut falls into, which is divided again if it may not hold them."""
     monkeypatch.setattr(evaluation, "BUCKET_DIGITS", digits)
+    monkeypatch.setattr(evaluation, "ORDERED_IDS", ordered)
     df = labelled(spark, {"a": 700, "b": 33, "c": 2, "d": 1}).unionByName(labelled(spark, {"a": 50}))
     got = sorted((r.label, r.id, r.subset) for r in evaluation.stratified_split(df, "label", "id", 0.3, 5).collect())
     expected = []
@@ -87,10 +88,11 @@ def test_epoch_metrics(spark):
 
 
 def test_forest_learns_and_survives_storage(spark, tmp_path):
+    """The forest of the queries, of the published size, as it comes back from storage."""
     rows = forest.feature_table(model_queries.labelled(spark, "/root/testdata/sf0.001"), "severity_label")
-    path = str(tmp_path / "model")
-    model, metrics = forest.train_and_report(rows, "severity_label", path, trees=5, depth=7, folds=2)
-    row = metrics.first()
+    path, metrics = model_queries.trained(spark, "/root/testdata/sf0.001")
+    model, row = forest.load(spark, path), spark.read.parquet(metrics).first()
+    assert (len(model.folds), model.base.getNumTrees, model.base.getOrDefault("maxDepth")) == (5, 400, 12)
     majority = rows.groupBy("severity_label").count().orderBy(F.desc("count")).first()["count"] / rows.count()
     assert row.accuracy > majority + 0.1
     assert row.training_samples + row.test_samples == rows.count()
@@ -98,7 +100,8 @@ def test_forest_learns_and_survives_storage(spark, tmp_path):
     scored = materialize(forest.score(model, rows), "scored")
     total = scored.select(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x).alias("s"))
     assert total.filter(F.abs(F.col("s") - 1) > 1e-9).count() == 0
-    again = forest.score(forest.load(spark, path), rows)
+    forest.save(model, spark, str(tmp_path / "model"))
+    again = forest.score(forest.load(spark, str(tmp_path / "model")), rows)
     key = F.sum(F.xxhash64("triage_id", F.transform("probabilities", lambda p: F.round(p, 9))) % 1000003)
     assert scored.agg(key).first() == again.agg(key).first()
     importances = forest.feature_importances(model, spark)

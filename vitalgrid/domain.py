@@ -163,13 +163,24 @@ RADIOLOGY_NOTE = (
 
 MAX_IMAGE_BYTES = 5 * 1024 * 1024
 IMAGE_FORMATS = {"JPEG": ("jpg", "jpeg"), "PNG": ("png",)}
-IMAGE_MAGIC = {"PNG": "89504E470D0A1A0A", "JPEG": "FFD8FF"}
+# leading bytes as hexadecimal digits, "?" for any
+IMAGE_MAGIC = {
+    "PNG": "89504E470D0A1A0A",
+    "JPEG": "FFD8FF",
+    "GIF": "474946383761",
+    "GIF89A": "474946383961",
+    "BMP": "424D????????00000000",
+    "TIFF": "49492A00",
+    "TIFF_MM": "4D4D002A",
+    "WEBP": "52494646????????57454250",
+}
 IMAGE_MIME_TYPES = ("image/jpeg", "image/png")
 IMAGE_NAME_MISSING = "A file is required"
 IMAGE_TYPE_UNSUPPORTED = "Unsupported file type"
 IMAGE_EMPTY = "Empty file"
 IMAGE_TOO_LARGE = "File exceeds the size limit"
 IMAGE_UNREADABLE = "Invalid image file"
+IMAGE_FORMAT_UNSUPPORTED = "Unsupported image format"
 IMAGE_MISMATCH = "File extension does not match the image content"
 # the upload form checks the same things and answers in its own words
 UPLOAD_NAME_INVALID = "El nombre del archivo no es valido."

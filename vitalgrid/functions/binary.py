@@ -28,7 +28,17 @@ def data_url(content: Column, mime_type: Column) -> Column:
 
 
 def image_format(content: Column) -> Column:
-    """Image format by its leading bytes, NULL when they are of no known format."""
-    head = F.hex(F.substring(content, 1, 8))
-    png, jpeg = domain.IMAGE_MAGIC["PNG"], domain.IMAGE_MAGIC["JPEG"]
-    return F.when(head == png, "PNG").when(head.startswith(jpeg), "JPEG")
+    """Image format by its leading bytes, NULL when they are of no known format.
+
+    Formats of several magics are named by their first.
+    """
+    head = F.hex(F.substring(content, 1, 12))
+    found = F.lit(None).cast("string")
+    for name, magic in reversed(domain.IMAGE_MAGIC.items()):
+        # two "?" of a magic stand for one byte
+        fits = head.rlike("^" + magic.replace("?", "."))
+        found = F.when(fits, _MAIN_NAME.get(name, name)).otherwise(found)
+    return found
+
+
+_MAIN_NAME = {"GIF89A": "GIF", "TIFF_MM": "TIFF"}

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.arrays import literals
 from vitalgrid.session import materialize
 
-# Hex digits of the hash that make a bucket of the split. 4 digits: 65 536 buckets.
-BUCKET_DIGITS = 4
+# Hex digits of the draw that one look resolves (4 digits: 65 536 buckets), and those it has.
+BUCKET_DIGITS, DRAW_DIGITS = 4, 32
+# Distinct ids of a border bucket that are ordered; above it the bucket is divided again.
+ORDERED_IDS = 10_000
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float, seed: int) -> DataFrame:
@@ -19,43 +21,40 @@ def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float, seed:
 
     The order is that of md5(seed|id), halves of the cut round to even. Copies of one id
     stay together. Equal to a rank per label, but no label's rows are brought together:
-    rows are counted per label and hash bucket, the bucket the cut falls into is looked
-    up, ids of that bucket alone are ordered, and the resulting last 'val' id of each
-    label is compared with every row in place.
+    rows are counted per label and hash bucket, the bucket the cut falls into is divided
+    again until it holds few ids, those are ordered, and the resulting last 'val' id of each
+    label is compared with every row in place. What is ordered is bounded at any size.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    drawn = df.select(
-        F.col(label).alias("_label"),
-        F.struct(draw.alias("draw"), F.col(id_col).cast("string").alias("id")).alias("_place"),
-    )
-    bucketed = drawn.withColumn("_bucket", F.substring("_place.draw", 1, BUCKET_DIGITS))
-    counts = bucketed.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-
-    # at most labels x 65 536 rows from here on
-    upto = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy("_label")
-    running = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(everything)})
-    running = running.withColumn("cut", F.rint(F.col("total") * F.lit(ratio)).cast("long"))
-    hit = (F.col("upto") >= F.col("cut")) & (F.col("upto") - F.col("n") < F.col("cut"))
-    border = running.filter(hit).select(
-        "_label", "_bucket", "cut", (F.col("upto") - F.col("n")).alias("earlier")
-    )
-    # Stored, one row per label: Spark knows their size and does not shuffle rows by label
-    # to join them, unless there are too many labels to broadcast.
-    border = materialize(border, "split-buckets")
-
-    # ids of one bucket per label, copies folded
-    inside = bucketed.join(border, ["_label", "_bucket"]).groupBy("_label", "_place").agg(
-        F.count(F.lit(1)).alias("n"), F.first("cut").alias("cut"), F.first("earlier").alias("earlier")
-    )
+    inside = df.select(F.col(label).alias("_label"), draw.alias("draw"), F.col(id_col).cast("string").alias("id")).groupBy("_label", "draw", "id").agg(F.count(F.lit(1)).alias("n"))
+    state = None
+    for level in range(DRAW_DIGITS // BUCKET_DIGITS):
+        bucketed = inside.withColumn("_bucket", F.substring("draw", 1 + level * BUCKET_DIGITS, BUCKET_DIGITS))
+        counts = bucketed.groupBy("_label", "_bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids"))
+        # at most labels x 65 536 rows in the windows
+        by_label = Window.partitionBy("_label")
+        upto = by_label.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+        running = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(by_label)})
+        if state is None:
+            cut, earlier = F.rint(F.col("total") * F.lit(ratio)).cast("long"), F.lit(0).cast("long")
+        else:
+            running = running.join(state.select(F.col("_label").alias("_of"), "cut", "earlier"), F.col("_label").eqNullSafe(F.col("_of")))
+            cut, earlier = F.col("cut"), F.col("earlier")
+        placed = running.select("_label", "_bucket", "ids", cut.alias("cut"), (earlier + F.col("upto") - F.col("n")).alias("earlier"), (earlier + F.col("upto")).alias("reached"))
+        # Stored, one row per label: Spark knows their size and does not shuffle rows by label
+        # to join them, unless there are too many labels to broadcast.
+        state = materialize(placed.filter("reached >= cut AND earlier < cut").drop("reached"), "split-buckets")
+        border = state.select(F.col("_label").alias("_of"), F.col("_bucket").alias("_in"))
+        inside = materialize(bucketed.join(border, F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")), "left_semi").drop("_bucket"), "split-inside")
+        most = state.agg(F.max("ids")).first()[0]
+        if most is None or most <= ORDERED_IDS:
+            break
+
+    ordered = inside.join(state.select(F.col("_label").alias("_of"), "cut", "earlier"), F.col("_label").eqNullSafe(F.col("_of")))
+    ordered = ordered.withColumn("_place", F.struct("draw", "id"))
     ahead = Window.partitionBy("_label").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("earlier") + F.coalesce(F.sum("n").over(ahead), F.lit(0))
-    last = (
-        inside.withColumn("before", before)
-        .filter("before < cut")
-        .groupBy("_label")
-        .agg(F.max("_place").alias("_last"))
-    )
+    last = ordered.withColumn("before", before).filter("before < cut").groupBy("_label").agg(F.max("_place").alias("_last"))
     last = materialize(last, "split-borders")
 
     # <=> so that rows without a label are split like any other class

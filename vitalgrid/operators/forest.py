@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from time import perf_counter
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,8 +23,12 @@ from vitalgrid.operators.triage import feature_vector
 from vitalgrid.session import materialize
 
 TREES, DEPTH, SEED, FOLDS, TEST_RATIO = 400, 12, 42, 5, 0.2
-# Scores are calibrated on this grid (the places probabilities are reported with). Each
-# class then fits on at most 10 001 weighted points, whatever the number of rows.
+# Most labelled rows a forest is fitted on, unless told otherwise: as many as the published
+# training set has. Everything that is scored or judged is scored and judged in full.
+FIT_ROWS = 8000
+# Decimal places of the grid that scores are calibrated on, unless told otherwise (those that
+# probabilities are reported with). Each class then fits on at most 10 001 weighted points,
+# whatever the number of rows. Stored with the model.
 SCORE_DIGITS = 4
 
 
@@ -33,6 +39,7 @@ class CalibratedForest:
     base: RandomForestClassificationModel
     folds: tuple[tuple[RandomForestClassificationModel, tuple[IsotonicRegressionModel, ...]], ...]
     labels: tuple[str, ...] = domain.RISK_LABELS
+    score_digits: int = SCORE_DIGITS
 
 
 def feature_table(labelled: DataFrame, label: str) -> DataFrame:
@@ -79,21 +86,25 @@ def _class_scores(model: RandomForestClassificationModel, rows: DataFrame) -> Da
     return model.transform(rows).withColumn("_scores", vector_to_array("probability"))
 
 
-def calibrate(rows: DataFrame, *, folds: int = FOLDS, seed: int = SEED, trees: int = TREES, depth: int = DEPTH):
+def calibrate(rows: DataFrame, *, folds: int = FOLDS, seed: int = SEED, trees: int = TREES, depth: int = DEPTH, score_digits: int = SCORE_DIGITS):
     """Per fold: a forest of the other folds, and isotonic calibrators of the held-out rows.
 
-    The held-out scores shrink to counts per class and score before they are fitted.
+    The held-out scores, rounded to ``score_digits`` places, shrink to counts per class and
+    score before they are fitted.
     """
-    fitted = []
-    for held_out in range(folds):
+
+    def fit(held_out: int):
         model = train_forest(rows.filter(_fold(folds, seed) != held_out), trees=trees, depth=depth, seed=seed)
         scored = _class_scores(model, rows.filter(_fold(folds, seed) == held_out))
         points = scored.select("label", F.posexplode_outer("_scores").alias("class", "score")).groupBy(
-            "class", F.round("score", SCORE_DIGITS).alias("features")
+            "class", F.round("score", score_digits).alias("features")
         ).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.count_if(F.col("label") == F.col("class")).alias("hits"))
         points = materialize(points.withColumn("label", F.col("hits") / F.col("weight")), "calibration-points")
-        fitted.append((model, tuple(_calibrator(points, index) for index in range(model.numClasses))))
-    return tuple(fitted)
+        return model, tuple(_calibrator(points, index) for index in range(model.numClasses))
+
+    # a fit waits for many short jobs; fits side by side fill the gaps
+    with ThreadPool(folds) as side_by_side:
+        return tuple(side_by_side.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds)))
 
 
 def _calibrator(points: DataFrame, index: int) -> IsotonicRegressionModel:
@@ -101,9 +112,10 @@ def _calibrator(points: DataFrame, index: int) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(own)
 
 
-def train_calibrated(rows: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS) -> CalibratedForest:
+def train_calibrated(rows: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS, score_digits: int = SCORE_DIGITS) -> CalibratedForest:
     base = train_forest(rows, trees=trees, depth=depth, seed=seed)
-    return CalibratedForest(base, calibrate(rows, folds=folds, seed=seed, trees=trees, depth=depth))
+    fitted = calibrate(rows, folds=folds, seed=seed, trees=trees, depth=depth, score_digits=score_digits)
+    return CalibratedForest(base, fitted, score_digits=score_digits)
 
 
 def score(model: CalibratedForest, rows: DataFrame) -> DataFrame:
@@ -125,7 +137,7 @@ def score(model: CalibratedForest, rows: DataFrame) -> DataFrame:
             forest = forest._set(**{setter: column})
         scored = forest.transform(scored)
         values = vector_to_array(f"_p{number}")
-        scored = scored.withColumns({f"_s{number}_{i}": F.round(values[i], SCORE_DIGITS) for i in range(k)})
+        scored = scored.withColumns({f"_s{number}_{i}": F.round(values[i], model.score_digits) for i in range(k)})
         for i, calibrator in enumerate(calibrators):
             calibrator = calibrator.copy()._set(featuresCol=f"_s{number}_{i}", predictionCol=f"_q{number}_{i}")
             scored = calibrator.transform(scored)
@@ -178,17 +190,36 @@ def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str,
     return body.withColumn("document", document(F.struct(*body.columns)))
 
 
-def train_and_report(table: DataFrame, label: str, path: str, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS):
-    """Split a feature table, train, save and evaluate: the model and its metrics document."""
+def bounded_rows(table: DataFrame, rows: int | None, seed: int = SEED) -> DataFrame:
+    """At most ``rows`` rows of a labelled table to fit a forest on, chosen by the hash of their ids; all if None."""
+    return table if rows is None else table.orderBy(F.xxhash64(F.lit(seed), F.col("triage_id")), "triage_id").limit(rows)
+
+
+def train_and_report(
+    table: DataFrame,
+    label: str,
+    path: str,
+    *,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    seed: int = SEED,
+    folds: int = FOLDS,
+    fit_rows: int | None = FIT_ROWS,
+    score_digits: int = SCORE_DIGITS,
+):
+    """Split a feature table, train, save and evaluate: the model and its metrics document.
+
+    Trained on at most ``fit_rows`` rows of the training part, judged on the whole rest.
+    """
     started = perf_counter()
     parts = materialize(evaluation.stratified_split(table, label, "triage_id", TEST_RATIO, seed), "parts")
-    train = parts.filter("subset = 'train'")
+    train = bounded_rows(parts.filter("subset = 'train'"), fit_rows, seed)
     test = parts.filter("subset = 'val'")
     rows = materialize(training_rows(train, label), "training-rows")
-    model = train_calibrated(rows, trees=trees, depth=depth, seed=seed, folds=folds)
+    model = train_calibrated(rows, trees=trees, depth=depth, seed=seed, folds=folds, score_digits=score_digits)
     save(model, table.sparkSession, path)
     scored = score(model, test)
-    metrics = training_metrics(scored, model, actual=label, training_rows=train.count(), seconds=round(perf_counter() - started, 2))
+    metrics = training_metrics(scored, model, actual=label, training_rows=rows.count(), seconds=round(perf_counter() - started, 2))
     return model, metrics
 
 
@@ -208,6 +239,7 @@ def save(model: CalibratedForest, spark: SparkSession, path: str) -> None:
         literals(domain.FEATURES).alias("feature_order"),
         literals([float(v) for v in model.base.featureImportances.toArray()]).alias("feature_importances"),
         F.lit(len(model.folds)).alias("folds"),
+        F.lit(model.score_digits).alias("score_digits"),
     ).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
@@ -221,7 +253,7 @@ def load(spark: SparkSession, path: str) -> CalibratedForest:
         )
         for number in range(about.folds)
     )
-    return CalibratedForest(RandomForestClassificationModel.load(f"{path}/base"), folds, labels)
+    return CalibratedForest(RandomForestClassificationModel.load(f"{path}/base"), folds, labels, about.score_digits)
 
 
 def model_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -26,7 +26,7 @@ def validate_images(
     """``image_error``: first failing check, NULL for a good image.
 
     Checks come in this order: name, extension, MIME type (may be absent), empty, size,
-    format by leading bytes, extension against format.
+    format by leading bytes, format allowed, extension against format.
     """
     title = strip(F.coalesce(F.col(name), F.lit("")))
     suffix = F.col("_suffix")
@@ -41,6 +41,7 @@ def validate_images(
         .when(size == 0, domain.IMAGE_EMPTY)
         .when(size > domain.MAX_IMAGE_BYTES, domain.IMAGE_TOO_LARGE)
         .when(F.col("_format").isNull(), domain.IMAGE_UNREADABLE)
+        .when(~F.col("_format").isin(*domain.IMAGE_FORMATS), domain.IMAGE_FORMAT_UNSUPPORTED)
         .when(_mismatch(F.substr(suffix, F.lit(2)), F.col("_format")), domain.IMAGE_MISMATCH)
     )
     prepared = objects.withColumns({"_suffix": file_suffix(title), "_format": image_format(F.col(content))})
@@ -59,6 +60,7 @@ def validate_uploads(objects: DataFrame, name: str = "path", content: str = "con
         .when(size == 0, domain.UPLOAD_EMPTY)
         .when(size > domain.MAX_IMAGE_BYTES, domain.UPLOAD_TOO_LARGE)
         .when(F.col("_format").isNull(), domain.UPLOAD_UNREADABLE)
+        .when(~F.col("_format").isin(*domain.IMAGE_FORMATS), domain.UPLOAD_FORMAT)
         .when(_mismatch(extension, F.col("_format")), domain.UPLOAD_MISMATCH)
     )
     prepared = objects.withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid import domain
 from vitalgrid.functions.arrays import lookup
-from vitalgrid.functions.numeric import clamp, percent
+from vitalgrid.functions.numeric import clamp, parse_number, percent
 from vitalgrid.functions.text import capitalized
 from vitalgrid.sources.readers import PREDICTION_PAYLOAD
 
@@ -64,8 +64,19 @@ def probability_rows(
     )
 
 
+def risk_probability_array(probabilities: Column, labels: Sequence[str] = domain.RISK_LABELS) -> Column:
+    """The rows of ``probability_rows`` for risk levels, as an array; all zero for a NULL map."""
+
+    def row(label: str) -> Column:
+        value = clamp(F.coalesce(F.try_element_at(probabilities, F.lit(label)), F.lit(0.0)), 0.0, 1.0)
+        display = F.lit(domain.RISK_DISPLAY.get(label, label.capitalize()))
+        return F.struct(F.lit(label).alias("label"), display.alias("display"), F.lit(label).alias("tone"), value.alias("value"), percent(value, 2).alias("percent"))
+
+    return F.array(*[row(label) for label in labels])
+
+
 def triage_view(assessed: DataFrame) -> DataFrame:
-    """Display projection of an assessment: texts, confidence percent, the rest as is."""
+    """Display projection of an assessment: texts, confidence percent, probability rows, the rest as is."""
     risk = F.lower(F.coalesce("risk_level", F.lit("")))
     priority = F.lower(F.coalesce("recommended_priority", F.lit("")))
     passed = [
@@ -74,8 +85,10 @@ def triage_view(assessed: DataFrame) -> DataFrame:
             "triage_id", "patient_id", "patient_name", "clinical_note",
         ) if c in assessed.columns
     ]
+    shown = [risk_probability_array(F.col("probability_map")).alias("probability_rows")] if "probability_map" in assessed.columns else []
     return assessed.select(
         *passed,
+        *shown,
         risk.alias("risk_level"),
         display_text(F.col("risk_level"), "risk").alias("risk_display"),
         priority.alias("priority"),
@@ -84,15 +97,33 @@ def triage_view(assessed: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of JSON values, as variants name them.
+_NUMBER_KINDS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)|TINYINT|SMALLINT|INT)$"
+
+
 def check_prediction_payloads(df: DataFrame, payload: str) -> DataFrame:
-    """Parsed ``prediction`` and ``is_valid`` of JSON texts.
+    """Parsed ``prediction``, its ``shares`` as numbers, and ``is_valid`` of JSON texts.
 
-    Valid means a class text and an object of numeric probabilities. The raw probability
-    object is looked at as well, because a number would pass for a text.
+    Valid means that the class is a JSON text and the probabilities an object, each of whose
+    values is a number, a truth value or a text that reads as a number. Whether 5 was written
+    as a number or as a text is looked up in the JSON itself.
     """
-    parsed = df.withColumn("prediction", F.from_json(payload, PREDICTION_PAYLOAD))
-    raw_class = F.get_json_object(payload, "$.class")
-    values = F.map_values(F.col("prediction.probabilities"))
-    numeric = F.forall(values, lambda v: F.coalesce(v.try_cast("double").isNotNull(), F.lit(False)))
-    valid = raw_class.isNotNull() & F.col("prediction.class").isNotNull() & F.col("prediction.probabilities").isNotNull() & numeric
-    return parsed.withColumn("is_valid", F.coalesce(valid, F.lit(False)))
+    whole = F.try_parse_json(F.col(payload))
+    of = lambda path, kind: F.try_variant_get(F.col("_json"), f"$.{path}", kind)
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+    def share(v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        number = F.when(kind(v).rlike(_NUMBER_KINDS), F.try_variant_get(v, "$", "double"))
+        return number.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind(v) == "STRING", parse_number(text))
+
+    parsed = df.withColumn("_json", whole).withColumns(
+        {
+            "prediction": F.from_json(payload, PREDICTION_PAYLOAD),
+            "shares": F.transform_values(of("probabilities", "map<string,variant>"), lambda _, v: share(v)),
+        }
+    )
+    is_text = kind(of("class", "variant")) == "STRING"
+    is_object = kind(of("probabilities", "variant")).startswith("OBJECT")
+    numeric = F.forall(F.map_values("shares"), lambda v: v.isNotNull())
+    return parsed.withColumn("is_valid", F.coalesce(is_text & is_object & numeric, F.lit(False))).drop("_json")

@@ -236,19 +236,21 @@ def model_assessment(scored: DataFrame, labels: Sequence[str] = domain.RISK_LABE
 
 
 def triage_alerts(scored: DataFrame) -> DataFrame:
-    """``alerts`` in fixed order, for rows with risk_level, certainty and symptoms."""
+    """``alerts`` in fixed order, for rows with risk_level, certainty and symptoms.
+
+    Only a model's answer, which has a ``certainty``, carries alerts; the rules' has none.
+    """
     folded = F.transform(_symptoms(), fold)
-    return scored.withColumn(
-        "alerts",
-        present(
-            F.when(F.col("risk_level") == "critical", domain.ALERT_CRITICAL),
-            F.when(F.col("certainty") < domain.LOW_CONFIDENCE, domain.ALERT_TRIAGE_CONFIDENCE),
-            F.when(
-                F.array_contains(folded, "chest pain") & F.col("risk_level").isin("high", "critical"),
-                domain.ALERT_CHEST_PAIN,
-            ),
+    found = present(
+        F.when(F.col("risk_level") == "critical", domain.ALERT_CRITICAL),
+        F.when(F.col("certainty") < domain.LOW_CONFIDENCE, domain.ALERT_TRIAGE_CONFIDENCE),
+        F.when(
+            F.array_contains(folded, "chest pain") & F.col("risk_level").isin("high", "critical"),
+            domain.ALERT_CHEST_PAIN,
         ),
     )
+    by_model = F.col("certainty").isNotNull()
+    return scored.withColumn("alerts", F.when(by_model, found).otherwise(F.array().cast("array<string>")))
 
 
 def top_contributors(
@@ -287,9 +289,13 @@ def top_contributors(
     return df.withColumn("_items", masked).withColumn("contributors", contributors).drop("_items")
 
 
-def assess(requests: DataFrame, scores: DataFrame, request_key: str = "ref_id", score_key: str = "vec_id") -> DataFrame:
+def assess(
+    requests: DataFrame, scores: DataFrame, request_key: str = "ref_id", score_key: str = "vec_id", importances: Sequence[float] = ()
+) -> DataFrame:
     """Model assessment where ``scores`` has probabilities for the request, else rules.
 
+    The model's answer comes with version, family, contributors (from the ``importances`` of
+    its features), alerts and note; on rows answered by the rules these are NULL or empty.
     ``scores`` holds one row per key. The join has no hint: Spark broadcasts scores it
     knows to be small, and otherwise splits the requests of a frequent key at run time.
     """
@@ -302,7 +308,15 @@ def assess(requests: DataFrame, scores: DataFrame, request_key: str = "ref_id",
     merged = both.withColumns(
         {name: F.when(by_model, F.col(name)).otherwise(F.col(f"_rules_{name}")) for name in rules}
     )
-    return merged.drop("_key", *[f"_rules_{name}" for name in rules])
+    about = {
+        "model_version": F.lit(domain.FOREST_MODEL_VERSION),
+        "model_family": F.lit(domain.FOREST_MODEL_FAMILY),
+        "clinical_note": F.lit(domain.TRIAGE_NOTE),
+    }
+    ranked = top_contributors(feature_vector(triage_alerts(merged)), importances).drop("features")
+    answered = {**about, "contributors": F.col("contributors")}
+    complete = ranked.withColumns({name: F.when(by_model, value) for name, value in answered.items()})
+    return complete.drop("_key", *[f"_rules_{name}" for name in rules])
 
 
 def triage_critical_events(triages: DataFrame, id_col: str = "triage_id") -> DataFrame:
@@ -326,7 +340,8 @@ def triage_records(assessed: DataFrame, bucket: str, patient_uuid: Column | None
     """
     patient_uuid = F.md5(F.concat(F.lit("patient|"), F.col("triage_id"))) if patient_uuid is None else patient_uuid
     request = F.struct("patient_name", "symptoms", "vitals", *(["notes"] if "notes" in assessed.columns else [F.lit(None).cast("string").alias("notes")]))
-    optional = {
+    basic = ("model_name", "risk_level", "recommended_priority", "score", "confidence")
+    of_model = {
         "model_version": "model_version",
         "model_family": "model_family",
         "probability_map": "probabilities",
@@ -334,37 +349,39 @@ def triage_records(assessed: DataFrame, bucket: str, patient_uuid: Column | None
         "alerts": "alerts",
         "clinical_note": "clinical_note",
     }
-    answer = F.struct(
-        "model_name",
-        "risk_level",
-        "recommended_priority",
-        "score",
-        "confidence",
-        *[F.col(c).alias(name) for c, name in optional.items() if c in assessed.columns],
-    )
+    by_rules = F.struct(*basic)
+    by_model = F.struct(*basic, *[F.col(c).alias(name) for c, name in of_model.items() if c in assessed.columns])
+    is_model = F.col("certainty").isNotNull() if "certainty" in assessed.columns else F.lit(True)
     keyed = assessed.withColumns(
         {"patient_id": patient_code(patient_uuid), "report_object_key": report_key("triage", F.col("triage_id"))}
     )
-    report = F.struct(
-        "triage_id",
-        "patient_id",
-        "patient_name",
-        iso_time(F.col("created_at")).alias("created_at"),
-        request.alias("request"),
-        answer.alias("assessment"),
-    )
+
+    def report(answer: Column) -> Column:
+        return F.struct(
+            "triage_id",
+            "patient_id",
+            "patient_name",
+            iso_time(F.col("created_at")).alias("created_at"),
+            request.alias("request"),
+            answer.alias("assessment"),
+        )
+
+    def either(form) -> Column:
+        """An answer of the rules has no entries for what only a model says."""
+        return F.when(is_model, document(form(by_model))).otherwise(document(form(by_rules)))
+
     return keyed.select(
         F.col("triage_id").alias("id"),
         "created_at",
         "patient_id",
         "patient_name",
         document(request).alias("request_payload"),
-        document(answer).alias("model_response"),
+        either(lambda answer: answer).alias("model_response"),
         F.coalesce("risk_level", F.lit("unknown")).alias("risk_level"),
         F.coalesce("recommended_priority", F.lit("unknown")).alias("recommended_priority"),
         F.coalesce("score", F.lit(0)).alias("score"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.lit(bucket).alias("report_bucket"),
         "report_object_key",
-        document(report).alias("document"),
+        either(report).alias("document"),
     )

@@ -1,8 +1,8 @@
 """Queries that train and apply the triage forest on the whole table.
 
 The forest of a table folder is trained once per application and stored in the shared
-folder; the queries load it from there. They use fewer and flatter trees than the
-defaults of ``operators.forest``, to keep a check short.
+folder; the queries load it from there, so the first of them pays for the others. It has
+the size of ``operators.forest``, fitted on at most ``FIT_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from vitalgrid.plans.registry import query
 from vitalgrid.plans.triage import requests
 from vitalgrid.session import scratch_path
 
-TREES, DEPTH, FOLDS, NOISE_RATE, SEED = 10, 8, 2, 0.06, 42
-_trained: dict[tuple[str, str], tuple[str, str]] = {}
+NOISE_RATE, SEED = 0.06, 42
+_trained: dict[tuple, tuple[str, str]] = {}
 
 
 def labelled(spark, d):
@@ -27,13 +27,11 @@ def labelled(spark, d):
 
 def trained(spark, d) -> tuple[str, str]:
     """Paths of the stored model and of its stored metrics document."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, forest.TREES, forest.DEPTH, forest.FOLDS, forest.FIT_ROWS, NOISE_RATE, SEED)
     if key not in _trained:
         model_path, metrics_path = scratch_path(spark, "model"), scratch_path(spark, "model-metrics")
         table = forest.feature_table(labelled(spark, d), "severity_label")
-        _, metrics = forest.train_and_report(
-            table, "severity_label", model_path, trees=TREES, depth=DEPTH, folds=FOLDS, seed=SEED
-        )
+        _, metrics = forest.train_and_report(table, "severity_label", model_path, seed=SEED)
         metrics.write.parquet(metrics_path)
         _trained[key] = (model_path, metrics_path)
     return _trained[key]

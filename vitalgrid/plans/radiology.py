@@ -244,13 +244,13 @@ def unknown_folders(spark, d):
     return readers.unknown_folders(readers.labelled_images(clinical.image_objects(spark, d)))
 
 
-_FOUND = "CASE WHEN starts_with(hex(content), '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(hex(content), 'FFD8FF') THEN 'JPEG' END"
+_FOUND = "CASE WHEN starts_with(hex(content), '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(hex(content), 'FFD8FF') THEN 'JPEG' WHEN starts_with(hex(content), '47494638') THEN 'GIF' WHEN starts_with(hex(content), '49492A00') THEN 'TIFF' WHEN starts_with(hex(content), '52494646') AND substr(hex(content), 17, 8) = '57454250' THEN 'WEBP' WHEN starts_with(hex(content), '424D') AND substr(hex(content), 13, 8) = '00000000' THEN 'BMP' END"
 
 
 @query("image_validate", f"""
     SELECT path, CASE WHEN extension NOT IN ('.jpg', '.jpeg', '.png') OR NOT (mime = '' OR lower(mime) IN ('image/jpeg', 'image/png')) THEN 'Unsupported file type'
                 WHEN size = 0 THEN 'Empty file' WHEN size > 5242880 THEN 'File exceeds the size limit'
-                WHEN found IS NULL THEN 'Invalid image file'
+                WHEN found IS NULL THEN 'Invalid image file' WHEN found NOT IN ('PNG', 'JPEG') THEN 'Unsupported image format'
                 WHEN (found = 'PNG') <> (extension = '.png') THEN 'File extension does not match the image content' END AS image_error
     FROM (SELECT path, lower(regexp_extract(path, '[^/.][^/]*(\\.[^./]*)$', 1)) AS extension, octet_length(content) AS size, {_FOUND} AS found,
                  CASE octet_length(content) % 3 WHEN 0 THEN 'image/PNG' WHEN 1 THEN '' ELSE 'application/pdf' END AS mime FROM v_objects) t""")
@@ -263,7 +263,7 @@ def image_validate(spark, d):
 @query("upload_validate", f"""
     SELECT path, CASE WHEN strpos(path, '.') = 0 THEN {quoted(domain.UPLOAD_NO_EXTENSION)} WHEN extension NOT IN ('jpg', 'jpeg', 'png') THEN {quoted(domain.UPLOAD_FORMAT)}
                 WHEN size = 0 THEN {quoted(domain.UPLOAD_EMPTY)} WHEN size > 5242880 THEN {quoted(domain.UPLOAD_TOO_LARGE)}
-                WHEN found IS NULL THEN {quoted(domain.UPLOAD_UNREADABLE)}
+                WHEN found IS NULL THEN {quoted(domain.UPLOAD_UNREADABLE)} WHEN found NOT IN ('PNG', 'JPEG') THEN 'Formato no permitido. Use JPG, JPEG o PNG.'
                 WHEN (found = 'PNG') <> (extension = 'png') THEN {quoted(domain.UPLOAD_MISMATCH)} END AS upload_error,
            CASE WHEN extension IN ('jpg', 'jpeg') AND found = 'JPEG' THEN 'image/jpeg' WHEN extension = 'png' AND found = 'PNG' THEN 'image/png' END AS mime_type
     FROM (SELECT path, lower(regexp_extract(path, '\\.([^.]*)$', 1)) AS extension, octet_length(content) AS size, {_FOUND} AS found FROM v_objects) t""")
@@ -291,28 +291,42 @@ def split_class_counts(spark, d):
 
 
 _PAYLOAD = """
-    SELECT event_id, CASE WHEN event_id % 7 = 0 THEN props
-        WHEN event_id % 7 = 1 THEN '{"class":"' || event_type || '","probabilities":{"Sana":"abc"}}'
-        WHEN event_id % 7 = 2 THEN '{"probabilities":{"Sana":0.5}}'
+    SELECT event_id, CASE event_id % 11 WHEN 0 THEN props
+        WHEN 1 THEN '{"class":"' || event_type || '","probabilities":{"Sana":"abc"}}'
+        WHEN 2 THEN '{"probabilities":{"Sana":0.5}}'
+        WHEN 3 THEN '{"class":5,"probabilities":{"Sana":0.5}}'
+        WHEN 4 THEN '{"class":{"a":1},"probabilities":{"Sana":0.5}}'
+        WHEN 5 THEN '{"class":"x","probabilities":{"Sana":"1d"}}'
+        WHEN 6 THEN '{"class":"x","probabilities":{"Sana":"1_0","k":true}}'
+        WHEN 7 THEN '{"class":"x","probabilities":{"Sana":null}}'
+        WHEN 8 THEN '{"class":"x","probabilities":[1]}'
         ELSE '{"class":"' || event_type || '","probabilities":{"Sana":0.25,"k":' || json_extract_string(props, '$.k') || '}}' END AS payload FROM events"""
 
 
 @query("prediction_payload_check", f"""
-    SELECT event_id, event_id % 7 > 2 AS is_valid, CASE WHEN event_id % 7 IN (0, 2) THEN NULL ELSE json_extract_string(payload, '$.class') END AS class_label,
-           CASE WHEN event_id % 7 > 2 THEN CAST(json_extract_string(payload, '$.probabilities.k') AS DOUBLE) END AS k
+    SELECT event_id, event_id % 11 IN (6, 9, 10) AS is_valid, CASE WHEN event_id % 11 IN (6, 9, 10) THEN json_extract_string(payload, '$.class') END AS class_label,
+           CASE WHEN event_id % 11 > 8 THEN CAST(json_extract_string(payload, '$.probabilities.k') AS DOUBLE) WHEN event_id % 11 = 6 THEN 1e0 END AS k
     FROM ({_PAYLOAD}) t""")
 def prediction_payload_check(spark, d):
     events = clinical.table(spark, d, "events")
-    payload = (
-        F.when(F.col("event_id") % 7 == 0, F.col("props"))
-        .when(F.col("event_id") % 7 == 1, F.concat(F.lit('{"class":"'), "event_type", F.lit('","probabilities":{"Sana":"abc"}}')))
-        .when(F.col("event_id") % 7 == 2, F.lit('{"probabilities":{"Sana":0.5}}'))
-        .otherwise(
-            F.concat(F.lit('{"class":"'), "event_type", F.lit('","probabilities":{"Sana":0.25,"k":'), F.get_json_object("props", "$.k"), F.lit("}}"))
-        )
+    texts = {
+        2: '{"probabilities":{"Sana":0.5}}',
+        3: '{"class":5,"probabilities":{"Sana":0.5}}',
+        4: '{"class":{"a":1},"probabilities":{"Sana":0.5}}',
+        5: '{"class":"x","probabilities":{"Sana":"1d"}}',
+        6: '{"class":"x","probabilities":{"Sana":"1_0","k":true}}',
+        7: '{"class":"x","probabilities":{"Sana":null}}',
+        8: '{"class":"x","probabilities":[1]}',
+    }
+    kind = F.col("event_id") % 11
+    payload = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit('{"class":"'), "event_type", F.lit('","probabilities":{"Sana":"abc"}}')))
+    for number, text in texts.items():
+        payload = payload.when(kind == number, F.lit(text))
+    payload = payload.otherwise(
+        F.concat(F.lit('{"class":"'), "event_type", F.lit('","probabilities":{"Sana":0.25,"k":'), F.get_json_object("props", "$.k"), F.lit("}}"))
     )
     checked = presentation.check_prediction_payloads(events.select("event_id", payload.alias("payload")), "payload")
     return checked.select(
-        "event_id", "is_valid", F.col("prediction.class").alias("class_label"),
-        F.try_element_at("prediction.probabilities", F.lit("k")).try_cast("double").alias("k"),
+        "event_id", "is_valid", F.when(F.col("is_valid"), F.col("prediction.class")).alias("class_label"),
+        F.when(F.col("is_valid"), F.try_element_at("shares", F.lit("k"))).alias("k"),
     )

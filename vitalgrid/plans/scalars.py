@@ -44,7 +44,7 @@ def scalar_string(spark, d):
     SELECT path, sha256(content) AS checksum, octet_length(content) AS size,
            printf('%.1f MB', {round_exact('octet_length(content) / 1048576e0', 1)}) AS size_text,
            md5('data:image/png;base64,' || to_base64(content)) AS data_url_md5,
-           CASE WHEN starts_with(hex(content), '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(hex(content), 'FFD8FF') THEN 'JPEG' END AS image_format
+           CASE WHEN starts_with(hex(content), '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(hex(content), 'FFD8FF') THEN 'JPEG' WHEN starts_with(hex(content), '47494638') THEN 'GIF' WHEN starts_with(hex(content), '49492A00') THEN 'TIFF' WHEN starts_with(hex(content), '52494646') AND substr(hex(content), 17, 8) = '57454250' THEN 'WEBP' WHEN starts_with(hex(content), '424D') AND substr(hex(content), 13, 8) = '00000000' THEN 'BMP' END AS image_format
     FROM v_objects""")
 def scalar_binary(spark, d):
     content = F.col("content")

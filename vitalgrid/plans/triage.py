@@ -26,7 +26,7 @@ def scores(spark, d):
 
 
 def assessed(spark, d):
-    return triage.assess(requests(spark, d), scores(spark, d))
+    return triage.assess(requests(spark, d), scores(spark, d), importances=IMPORTANCES)
 
 
 def _form_check() -> tuple[str, str]:
@@ -129,14 +129,8 @@ def news2_severity_label(spark, d):
     UNION ALL SELECT 'news2', severity_label, count(*) FROM v_labels GROUP BY 2""")
 def risk_distribution(spark, d):
     both = triage.rules_risk(triage.severity_label(requests(spark, d)))
-    by_label = F.explode(
-        F.array(
-            F.struct(F.lit("rules").alias("labelling"), F.col("risk_level").alias("level")),
-            F.struct(F.lit("news2").alias("labelling"), F.col("severity_label").alias("level")),
-        )
-    )
-    long = both.select(by_label.alias("l")).select("l.*")
-    return long.groupBy("labelling", F.col("level").alias("risk_level")).agg(F.count(F.lit(1)).alias("rows"))
+    of = lambda name, column: triage.risk_distribution(both, column).select(F.lit(name).alias("labelling"), "risk_level", "rows")
+    return of("rules", "risk_level").unionByName(of("news2", "severity_label"))
 
 
 _LEVELS = text_list(domain.RISK_LABELS)
@@ -186,17 +180,17 @@ def assessment_fallback(spark, d):
     return assessed(spark, d).select(*columns)
 
 
-_ALERTS = joined([
+_ALERTS = "CASE WHEN certainty IS NULL THEN '' ELSE " + joined([
     f"CASE WHEN risk_level = 'critical' THEN {quoted(domain.ALERT_CRITICAL)} END",
     f"CASE WHEN certainty < 0.55e0 THEN {quoted(domain.ALERT_TRIAGE_CONFIDENCE)} END",
     f"CASE WHEN list_contains(symptoms, 'chest pain') AND risk_level IN ('high', 'critical') THEN {quoted(domain.ALERT_CHEST_PAIN)} END",
-])
+]) + " END"
 
 
-@query("triage_alerts", f"SELECT triage_id, {_ALERTS} AS alerts FROM v_assess WHERE certainty IS NOT NULL")
+@query("triage_alerts", f"SELECT triage_id, {_ALERTS} AS alerts FROM v_assess")
 def triage_alerts(spark, d):
-    by_model = assessed(spark, d).filter("certainty IS NOT NULL")
-    return triage.triage_alerts(by_model).select("triage_id", F.array_join("alerts", " | ").alias("alerts"))
+    """Alerts of all answers; those of the rules have none."""
+    return triage.triage_alerts(assessed(spark, d)).select("triage_id", F.array_join("alerts", " | ").alias("alerts"))
 
 
 @query("triage_critical_events", f"""
@@ -230,23 +224,42 @@ def top_contributors(spark, d):
     return exploded.select("triage_id", (F.col("position") + 1).cast("long").alias("rank"), "c.*")
 
 
-@query("register_triage", """
+_COMPLETE = f"""
+    (SELECT a.*, t.heart_rate, t.features FROM v_assess a JOIN (SELECT triage_id, heart_rate, {_VECTOR} AS features FROM v_triage) t USING (triage_id)) x"""
+_CONTRIBUTORS = (
+    f"CASE WHEN certainty IS NOT NULL THEN list_transform(list_slice(list_reverse_sort(list_transform(range(1, {len(domain.FEATURES) + 1}), "
+    f"lambda i: {{'w': CASE WHEN features[i] <> 0 THEN {_IMPORTANCE}[i] ELSE 0e0 END, 'i': i}})), 1, 3), lambda s: {text_list(domain.FEATURES)}[s.i]) END"
+)
+_MODEL_ONLY = ", ".join(
+    f"CASE WHEN certainty IS NOT NULL THEN {quoted(text)} END AS {name}"
+    for name, text in (("model_version", "1.0.0"), ("model_family", "random_forest_isotonic_calibration"), ("clinical_note", domain.TRIAGE_NOTE))
+)
+
+
+@query("register_triage", f"""
     SELECT triage_id AS id, 'PAC-' || upper(substr(md5('patient|' || triage_id), 1, 8)) AS patient_id, patient_name, risk_level,
            recommended_priority, score, confidence, 'triage-reports/' || triage_id || '.json' AS report_object_key,
-           triage_id AS document_id, risk_level AS document_risk, CAST(len(symptoms) AS INTEGER) AS document_symptoms, heart_rate AS document_heart_rate
-    FROM (SELECT a.*, t.heart_rate FROM v_assess a JOIN v_triage t USING (triage_id)) x""")
+           triage_id AS document_id, risk_level AS document_risk, CAST(len(symptoms) AS INTEGER) AS document_symptoms, heart_rate AS document_heart_rate,
+           {_MODEL_ONLY}, ({_CONTRIBUTORS})[1] AS first_contributor, {sql_round("p4", 4)} AS p_critical,
+           CASE WHEN certainty IS NOT NULL THEN CAST(len(string_split({_ALERTS}, ' | ')) - CASE WHEN ({_ALERTS}) = '' THEN 1 ELSE 0 END AS INTEGER) END AS n_alerts
+    FROM {_COMPLETE}""")
 def register_triage(spark, d):
-    """Records stored with their documents, then each document found by its key."""
+    """Records as stored, each with what its document says."""
     store = scratch_path(spark, "triage")
     registered.register_triages(triage.triage_records(assessed(spark, d), "clinical-reports"), store, "batch-1")
-    stored = registered.load_triages(spark, store)
-    found = metrics.report_lookup(stored.drop("document"), stored)
-    return found.select(
+    said = lambda path: F.get_json_object("document", f"$.{path}")
+    return registered.load_triages(spark, store).select(
         "id", "patient_id", "patient_name", "risk_level", "recommended_priority", "score", "confidence", "report_object_key",
-        F.get_json_object("document", "$.triage_id").alias("document_id"),
-        F.get_json_object("document", "$.assessment.risk_level").alias("document_risk"),
-        F.json_array_length(F.get_json_object("document", "$.request.symptoms")).alias("document_symptoms"),
-        F.get_json_object("document", "$.request.vitals.heart_rate").alias("document_heart_rate"),
+        said("triage_id").alias("document_id"),
+        said("assessment.risk_level").alias("document_risk"),
+        F.json_array_length(said("request.symptoms")).alias("document_symptoms"),
+        said("request.vitals.heart_rate").alias("document_heart_rate"),
+        said("assessment.model_version").alias("model_version"),
+        said("assessment.model_family").alias("model_family"),
+        said("assessment.clinical_note").alias("clinical_note"),
+        said("assessment.top_contributors[0].feature").alias("first_contributor"),
+        said("assessment.probabilities.critical").cast("double").alias("p_critical"),
+        F.json_array_length(said("assessment.alerts")).alias("n_alerts"),
     )
 
 
@@ -280,15 +293,21 @@ def display_labels(spark, d):
     return shown.select("triage_id", "risk_display", "priority_display")
 
 
+_PERCENTS = ", ".join(f"coalesce({sql_round('(' + sql_round(f'p{i + 1}', 4) + ') * 100e0', 2)}, 0e0) AS percent_{risk}" for i, risk in enumerate(domain.RISK_LABELS))
+
+
 @query("triage_view", f"""
     SELECT triage_id, patient_name, risk_level, {case('risk_level', domain.RISK_DISPLAY)} AS risk_display, recommended_priority AS priority,
            {case('recommended_priority', domain.PRIORITY_DISPLAY)} AS priority_display, {sql_round("confidence * 100e0", 1)} AS confidence,
-           {_ALERTS} AS alerts, score, model_name
-    FROM v_assess""")
+           {_ALERTS} AS alerts, score, model_name, {_MODEL_ONLY}, array_to_string({_CONTRIBUTORS}, ',') AS contributors, {_PERCENTS}
+    FROM {_COMPLETE}""")
 def triage_view(spark, d):
-    view = presentation.triage_view(triage.triage_alerts(assessed(spark, d)))
-    return view.withColumn("alerts", F.array_join("alerts", " | ")).select(
-        "triage_id", "patient_name", "risk_level", "risk_display", "priority", "priority_display", "confidence", "alerts", "score", "model_name"
+    view = presentation.triage_view(assessed(spark, d))
+    shown = {"alerts": F.array_join("alerts", " | "), "contributors": F.array_join(F.col("contributors.feature"), ",")}
+    percents = [F.col("probability_rows")[i]["percent"].alias(f"percent_{risk}") for i, risk in enumerate(domain.RISK_LABELS)]
+    return view.withColumns(shown).select(
+        "triage_id", "patient_name", "risk_level", "risk_display", "priority", "priority_display", "confidence", "alerts", "score", "model_name",
+        "model_version", "model_family", "clinical_note", "contributors", *percents,
     )
 
 

@@ -201,7 +201,9 @@ VIEWS = {
         SELECT CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END || '/' ||
                CASE lang WHEN 'en' THEN 'NORMAL' WHEN 'fr' THEN 'PNEUMONIA' WHEN 'de' THEN 'COVID19' ELSE 'OTHER' END || '/' ||
                CAST(doc_id AS VARCHAR) || CASE doc_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.JPEG' WHEN 3 THEN '.gif' ELSE '' END AS path,
-               CASE doc_id % 3 WHEN 0 THEN unhex('89504E470D0A1A0A') || encode(text) WHEN 1 THEN unhex('FFD8FF') || encode(text) ELSE encode(text) END AS content
+               CASE WHEN doc_id % 11 = 7 THEN unhex('474946383961') || encode(text) WHEN doc_id % 11 = 8 THEN unhex('49492A00') || encode(text)
+                    WHEN doc_id % 11 = 9 THEN unhex('524946460A00000057454250') || encode(text) WHEN doc_id % 11 = 10 THEN unhex('424D0A00000000000000') || encode(text)
+                    WHEN doc_id % 3 = 0 THEN unhex('89504E470D0A1A0A') || encode(text) WHEN doc_id % 3 = 1 THEN unhex('FFD8FF') || encode(text) ELSE encode(text) END AS content
         FROM documents""",
 }
 

@@ -184,6 +184,10 @@ def image_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE lang WHEN 'en' THEN 'NORMAL' WHEN 'fr' THEN 'PNEUMONIA' WHEN 'de' THEN 'COVID19' ELSE 'OTHER' END, '/', "
         "CAST(doc_id AS STRING), CASE doc_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.JPEG' "
         "WHEN 3 THEN '.gif' ELSE '' END) AS path",
-        "CASE doc_id % 3 WHEN 0 THEN concat(unhex('89504E470D0A1A0A'), CAST(text AS BINARY)) "
-        "WHEN 1 THEN concat(unhex('FFD8FF'), CAST(text AS BINARY)) ELSE CAST(text AS BINARY) END AS content",
+        "CASE WHEN doc_id % 11 = 7 THEN concat(unhex('474946383961'), CAST(text AS BINARY)) "
+        "WHEN doc_id % 11 = 8 THEN concat(unhex('49492A00'), CAST(text AS BINARY)) "
+        "WHEN doc_id % 11 = 9 THEN concat(unhex('524946460A00000057454250'), CAST(text AS BINARY)) "
+        "WHEN doc_id % 11 = 10 THEN concat(unhex('424D0A00000000000000'), CAST(text AS BINARY)) "
+        "WHEN doc_id % 3 = 0 THEN concat(unhex('89504E470D0A1A0A'), CAST(text AS BINARY)) "
+        "WHEN doc_id % 3 = 1 THEN concat(unhex('FFD8FF'), CAST(text AS BINARY)) ELSE CAST(text AS BINARY) END AS content",
     )
