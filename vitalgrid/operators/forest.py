@@ -19,7 +19,7 @@ from vitalgrid import domain
 from vitalgrid.functions.arrays import literals, nth
 from vitalgrid.functions.records import document
 from vitalgrid.operators import evaluation
-from vitalgrid.operators.triage import feature_vector
+from vitalgrid.operators.triage import feature_vector, model_answer
 from vitalgrid.session import materialize
 
 TREES, DEPTH, SEED, FOLDS, TEST_RATIO = 400, 12, 42, 5, 0.2
@@ -148,6 +148,13 @@ def score(model: CalibratedForest, rows: DataFrame) -> DataFrame:
     return scored.select(*kept, F.array(*means).alias("probabilities"))
 
 
+def assess(model: CalibratedForest, requests: DataFrame) -> DataFrame:
+    """The forest's answer to every request, complete with contributors, alerts and note."""
+    scored = score(model, feature_vector(requests))
+    importances = [float(v) for v in model.base.featureImportances.toArray()]
+    return model_answer(scored, importances)
+
+
 def feature_importances(model: CalibratedForest, spark: SparkSession) -> DataFrame:
     """Importance of every feature in the uncalibrated forest, with its rank."""
     values = model.base.featureImportances.toArray()

@@ -109,9 +109,10 @@ def current_events(event_log: DataFrame, id_col: str = "event_id") -> DataFrame:
 def resolved_version(event_log: DataFrame, ids: DataFrame, id_col: str = "event_id") -> DataFrame:
     """Versions to append so that the given events are resolved.
 
-    Ids the log does not hold yield no row; ``missing_ids`` names them.
+    An event that is resolved already gets no further version, and one the log does not hold
+    yields no row; ``missing_ids`` names those.
     """
-    current = current_events(event_log, id_col)
+    current = current_events(event_log, id_col).where(~F.col("resolved"))
     chosen = current.join(ids.select(id_col).distinct(), id_col, "left_semi")
     return chosen.withColumns({"version": F.col("version") + 1, "resolved": F.lit(True)})
 

@@ -289,6 +289,20 @@ def top_contributors(
     return df.withColumn("_items", masked).withColumn("contributors", contributors).drop("_items")
 
 
+def model_answer(scored: DataFrame, importances: Sequence[float] = ()) -> DataFrame:
+    """All a model says of rows with ``features`` and ``probabilities``."""
+    answered = top_contributors(triage_alerts(model_assessment(scored)), importances)
+    return answered.withColumns({name: F.lit(value) for name, value in _ABOUT_MODEL.items()})
+
+
+_ABOUT_MODEL = {
+    "model_name": domain.FOREST_MODEL_NAME,
+    "model_version": domain.FOREST_MODEL_VERSION,
+    "model_family": domain.FOREST_MODEL_FAMILY,
+    "clinical_note": domain.TRIAGE_NOTE,
+}
+
+
 def assess(
     requests: DataFrame, scores: DataFrame, request_key: str = "ref_id", score_key: str = "vec_id", importances: Sequence[float] = ()
 ) -> DataFrame:
@@ -308,11 +322,7 @@ def assess(
     merged = both.withColumns(
         {name: F.when(by_model, F.col(name)).otherwise(F.col(f"_rules_{name}")) for name in rules}
     )
-    about = {
-        "model_version": F.lit(domain.FOREST_MODEL_VERSION),
-        "model_family": F.lit(domain.FOREST_MODEL_FAMILY),
-        "clinical_note": F.lit(domain.TRIAGE_NOTE),
-    }
+    about = {name: F.lit(value) for name, value in _ABOUT_MODEL.items() if name != "model_name"}
     ranked = top_contributors(feature_vector(triage_alerts(merged)), importances).drop("features")
     answered = {**about, "contributors": F.col("contributors")}
     complete = ranked.withColumns({name: F.when(by_model, value) for name, value in answered.items()})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitalgrid import domain
@@ -223,3 +225,51 @@ def run_quality_events(spark, d):
         F.get_json_object("metadata", "$.processed_count").cast("long").alias("processed_count"),
         F.get_json_object("metadata", "$.rejected_count").cast("long").alias("rejected_count"),
     )
+
+
+def _failed_run(spark, d):
+    """A job over the study batch without its label column; the store it leaves."""
+    source, output, store = (scratch_path(spark, name) for name in ("incoming", "outcome", "store"))
+    clinical.studies_raw(spark, d).drop("label").write.option("header", True).csv(source)
+    try:
+        ingest.run_study_job(spark, source, output, store, run_id="run-f")
+    except readers.MissingColumnsError as error:
+        return store, str(error)
+    return store, None
+
+
+@query("required_columns_check", """
+    SELECT 'Missing required columns: label' AS error, count(*) AS rows FROM v_studies_raw""")
+def required_columns_check(spark, d):
+    """What the reader says of the batch without a column, and how many rows it refused."""
+    _, error = _failed_run(spark, d)
+    return clinical.studies_raw(spark, d).agg(F.lit(error).alias("error"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("failure_report", """
+    SELECT 'run-f' AS id, 'failed' AS status, CAST(0 AS BIGINT) AS processed_count, CAST(0 AS BIGINT) AS rejected_count,
+           'pipeline-reports/run-f.json' AS report_object_key, 'Missing required columns: label' AS error,
+           'failed' AS document_status, 'Missing required columns: label' AS document_error, 'high' AS severity, 'pipeline_failure' AS event_type""")
+def failure_report(spark, d):
+    """Run row, document and event of the failed run, as stored."""
+    store, _ = _failed_run(spark, d)
+    runs, events = tables.load(spark, store, "pipeline_runs"), tables.load(spark, store, "quality_events")
+    documents = tables.load_documents(spark, store).select("report_object_key", "document")
+    said = lambda column, path: F.get_json_object(column, f"$.{path}")
+    return runs.join(documents, "report_object_key").join(events.select("severity", "event_type", said("metadata", "run_id").alias("of")), F.col("of") == F.col("id")).select(
+        "id", "status", "processed_count", "rejected_count", "report_object_key", said("metadata", "error").alias("error"),
+        said("document", "status").alias("document_status"), said("document", "metadata.error").alias("document_error"), "severity", "event_type",
+    )
+
+
+@query("typed_tables", """
+    SELECT CAST(run_id AS VARCHAR) AS id, status, CAST(0 AS BIGINT) AS processed_count, CAST(0 AS BIGINT) AS rejected_count, '{}' AS metadata FROM v_runs""")
+def typed_tables(spark, d):
+    """Runs inserted into the created table without the columns that have defaults."""
+    database = "vitalgrid_" + uuid.uuid4().hex
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_path(spark, 'database')}'")
+    tables.create_tables(spark, database)
+    clinical.runs(spark, d).select(F.col("run_id").cast("string").alias("id"), "created_at", "status").createOrReplaceTempView(f"{database}_runs")
+    spark.sql(f"INSERT INTO {database}.pipeline_runs (id, created_at, status, input_uri) SELECT id, created_at, status, 'studies' FROM {database}_runs")
+    spark.catalog.dropTempView(f"{database}_runs")
+    return spark.table(f"{database}.pipeline_runs").select("id", "status", "processed_count", "rejected_count", "metadata")

@@ -84,7 +84,7 @@ def event_current_state(spark, d):
 
 @query("event_resolve", """
     SELECT event_id, CAST(max(version) + 1 AS INTEGER) AS version, TRUE AS resolved FROM v_event_log
-    WHERE event_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY event_id""")
+    WHERE event_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY event_id HAVING NOT bool_or(resolved)""")
 def event_resolve(spark, d):
     """Resolving a list of events: the versions to append."""
     toxic = clinical.table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("event_id"))

@@ -31,10 +31,14 @@ def stream_triage_assess(spark, d):
 
 @query("stream_open_event_counts", "SELECT severity, count(*) AS events FROM v_events WHERE NOT resolved GROUP BY severity")
 def stream_open_event_counts(spark, d):
-    counts = flows.stream_open_counts(clinical.event_log_stream(spark, d))
-    path, checkpoint = scratch_path(spark, "open-counts"), scratch_path(spark, "open-counts-progress")
-    flows.replace_at(counts, path, checkpoint).awaitTermination()
-    return spark.read.schema(counts.schema).parquet(path)
+    """The log in eight files and micro-batches, every sixth event resolved twice."""
+    log = clinical.event_log(spark, d)
+    again = log.where("resolved AND event_id % 6 = 0").withColumn("version", F.col("version") + 1)
+    incoming, path, checkpoint = (scratch_path(spark, n) for n in ("event-log", "open-changes", "open-progress"))
+    log.unionByName(again).repartition(8, "event_id", "version").write.parquet(incoming)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    flows.store_open_changes(stream, path, checkpoint).awaitTermination()
+    return flows.open_counts(spark, path)
 
 
 @query("stream_ingest_studies", """
