@@ -112,6 +112,18 @@ def _calibrator(points: DataFrame, index: int) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(own)
 
 
+def isotonic_curve(points: DataFrame) -> DataFrame:
+    """``points`` (features, label, weight) with ``fitted``: the weighted isotonic regression at each."""
+    model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight", predictionCol="fitted").fit(points)
+    return model.transform(points)
+
+
+def curves_rise(model: CalibratedForest) -> bool:
+    """Whether every stored calibration curve never falls and stays between 0 and 1."""
+    curves = [list(c.predictions) for _, calibrators in model.folds for c in calibrators]
+    return all(0 <= a <= b <= 1 for curve in curves for a, b in zip(curve, curve[1:]))
+
+
 def train_calibrated(rows: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS, score_digits: int = SCORE_DIGITS) -> CalibratedForest:
     base = train_forest(rows, trees=trees, depth=depth, seed=seed)
     fitted = calibrate(rows, folds=folds, seed=seed, trees=trees, depth=depth, score_digits=score_digits)
@@ -197,6 +209,15 @@ def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str,
     return body.withColumn("document", document(F.struct(*body.columns)))
 
 
+def split_rows(table: DataFrame, label: str, seed: int = SEED) -> DataFrame:
+    """The table with ``subset``: a fifth of each label is 'val'.
+
+    Drawn with the next seed: labels may have been moved by a draw with this one, and
+    the same draw would put all of those on one side.
+    """
+    return evaluation.stratified_split(table, label, "triage_id", TEST_RATIO, seed + 1)
+
+
 def bounded_rows(table: DataFrame, rows: int | None, seed: int = SEED) -> DataFrame:
     """At most ``rows`` rows of a labelled table to fit a forest on, chosen by the hash of their ids; all if None."""
     return table if rows is None else table.orderBy(F.xxhash64(F.lit(seed), F.col("triage_id")), "triage_id").limit(rows)
@@ -219,7 +240,7 @@ def train_and_report(
     Trained on at most ``fit_rows`` rows of the training part, judged on the whole rest.
     """
     started = perf_counter()
-    parts = materialize(evaluation.stratified_split(table, label, "triage_id", TEST_RATIO, seed), "parts")
+    parts = materialize(split_rows(table, label, seed), "parts")
     train = bounded_rows(parts.filter("subset = 'train'"), fit_rows, seed)
     test = parts.filter("subset = 'val'")
     rows = materialize(training_rows(train, label), "training-rows")

@@ -7,13 +7,17 @@ the size of ``operators.forest``, fitted on at most ``FIT_ROWS`` rows.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from vitalgrid import domain
 from vitalgrid.operators import forest, triage
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.triage import requests
+from vitalgrid.plans.views import quoted, text_list
 from vitalgrid.session import scratch_path
+from vitalgrid.sources import clinical, registered
+from vitalgrid.streaming import flows
 
 NOISE_RATE, SEED = 0.06, 42
 _trained: dict[tuple, tuple[str, str]] = {}
@@ -37,52 +41,149 @@ def trained(spark, d) -> tuple[str, str]:
     return _trained[key]
 
 
-@query("train_triage_forest")
+_loaded: dict[str, forest.CalibratedForest] = {}
+_scored: dict[str, str] = {}
+
+
+def loaded(spark, d) -> forest.CalibratedForest:
+    """The stored model, read once per application."""
+    path = trained(spark, d)[0]
+    if path not in _loaded:
+        _loaded[path] = forest.load(spark, path)
+    return _loaded[path]
+
+
+def scored(spark, d):
+    """The forest's answers to all requests, stored once for the queries that look at them."""
+    model_path = trained(spark, d)[0]
+    if model_path not in _scored:
+        path = scratch_path(spark, "scored")
+        forest.assess(loaded(spark, d), requests(spark, d)).write.parquet(path)
+        _scored[model_path] = path
+    return spark.read.parquet(_scored[model_path])
+
+
+_CUT = f"{int(NOISE_RATE * 16**8):08x}"
+_LEVELS = text_list(domain.RISK_LABELS)
+_NOISY = f"""
+    SELECT triage_id, CASE WHEN substr(draw, 1, 8) < '{_CUT}' THEN {_LEVELS}[CASE WHEN substr(draw, 9, 1) < '8' THEN greatest(place - 1, 1) ELSE least(place + 1, 4) END]
+        ELSE severity_label END AS label
+    FROM (SELECT *, md5('{SEED}|' || triage_id) AS draw, list_position({_LEVELS}, severity_label) AS place FROM v_labels) n"""
+_TEST_ROWS = f"SELECT label, count(*) AS n, CAST(round_even(count(*) * 0.2e0, 0) AS BIGINT) AS test FROM ({_NOISY}) m GROUP BY label"
+
+
+@query("train_triage_forest", f"SELECT label, test AS rows, test AS predicted, TRUE AS is_full_size FROM ({_TEST_ROWS}) t")
 def train_triage_forest(spark, d):
-    """Predictions of a freshly trained, uncalibrated forest, as a confusion matrix."""
+    """Held-out rows by label, how many of them the uncalibrated forest gives a label, and the forest's size."""
+    base = loaded(spark, d).base
     table = forest.feature_table(labelled(spark, d), "severity_label")
-    rows = forest.training_rows(table, "severity_label")
-    model = forest.train_forest(rows, trees=TREES, depth=DEPTH, seed=SEED)
-    predicted = model.transform(rows).select("label", "prediction")
-    return predicted.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("rows"))
+    held_out = forest.split_rows(table, "severity_label", SEED).where("subset = 'val'")
+    predicted = base.transform(held_out.withColumn("features", array_to_vector("features")))
+    full = base.getNumTrees == 400 and max(t.depth for t in base.trees) <= 12 and base.getOrDefault("maxDepth") == 12
+    return predicted.groupBy(F.col("severity_label").alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction").isin(0.0, 1.0, 2.0, 3.0)).alias("predicted"), F.lit(full).alias("is_full_size")
+    )
 
 
-@query("calibrate_isotonic")
+@query("calibrate_isotonic", f"""
+    SELECT * FROM (WITH p AS (SELECT r.score / 100e0 AS x, count(*) AS w, count(*) FILTER (WHERE m.label = 'critical') AS hits FROM v_rules r JOIN ({_NOISY}) m USING (triage_id) GROUP BY 1),
+    f AS (SELECT a.x AS low, b.x AS high, (SELECT sum(hits) FROM p WHERE p.x BETWEEN a.x AND b.x) / (SELECT sum(w) FROM p WHERE p.x BETWEEN a.x AND b.x) AS mean
+          FROM p a JOIN p b ON a.x <= b.x),
+    least AS (SELECT p.x, f.low, min(f.mean) AS mean FROM p JOIN f ON f.low <= p.x AND p.x <= f.high GROUP BY 1, 2)
+    SELECT x AS score, w AS rows, round(max(mean), 9) AS fitted, TRUE AS curves_rise FROM least JOIN p USING (x) GROUP BY x, w) c""")
 def calibrate_isotonic(spark, d):
-    """Calibrated probabilities by rounded value and label: how often the label was right."""
-    model = forest.load(spark, trained(spark, d)[0])
-    scored = forest.score(model, triage.feature_vector(labelled(spark, d)))
-    truth = F.array_position(F.array(*[F.lit(r) for r in domain.RISK_LABELS]), F.col("severity_label")) - 1
-    points = scored.select(truth.alias("truth"), F.posexplode_outer("probabilities").alias("class", "p"))
-    return points.groupBy("class", F.round("p", 1).alias("predicted_share")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg((F.col("truth") == F.col("class")).cast("double")).alias("observed_share")
+    """Isotonic share of critical labels over the rules' score; and whether the stored curves of the forest rise."""
+    truth = labelled(spark, d).select("triage_id", "severity_label")
+    both = triage.rules_risk(requests(spark, d)).select("triage_id", "score").join(truth, "triage_id")
+    points = both.groupBy((F.col("score") / 100.0).alias("features")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"), F.avg((F.col("severity_label") == "critical").cast("double")).alias("label")
     )
+    rises = forest.curves_rise(loaded(spark, d))
+    curve = forest.isotonic_curve(points)
+    return curve.select(F.col("features").alias("score"), F.col("weight").cast("long").alias("rows"), F.round("fitted", 9).alias("fitted"), F.lit(rises).alias("curves_rise"))
+
+
+_ANSWER_CHECKS = ("sums_to_one", "fits_risk", "fits_priority", "fits_score", "fits_confidence", "fits_alerts", "is_complete")
+
 
+def _answer_checks() -> dict:
+    """What follows from a row's own probabilities, said again in SQL."""
+    top = "array_max(probabilities)"
+    place = f"array_position(probabilities, {top})"
+    return {
+        "sums_to_one": F.expr("abs(aggregate(probabilities, 0D, (a, x) -> a + x) - 1) < 1e-9"),
+        "fits_risk": F.expr(f"risk_level = element_at(array('low', 'medium', 'high', 'critical'), cast({place} AS int))"),
+        "fits_priority": F.expr("recommended_priority = CASE risk_level WHEN 'low' THEN 'standard' WHEN 'medium' THEN 'priority' WHEN 'high' THEN 'urgent' ELSE 'immediate' END"),
+        "fits_score": F.expr(f"score = cast(least(100, greatest(0, rint({top} * 100 * {place} / 4))) AS int)"),
+        "fits_confidence": F.expr(f"abs(confidence - {top}) <= 0.00005000001"),
+        "fits_alerts": F.expr(
+            f"array_contains(alerts, 'Confianza baja: validar con personal sanitario.') = ({top} < 0.55) "
+            "AND array_contains(alerts, 'Activar codigo de atencion inmediata.') = (risk_level = 'critical')"
+        ),
+        "is_complete": F.expr("model_version = '1.0.0' AND model_family = 'random_forest_isotonic_calibration' AND clinical_note <> '' AND size(contributors) = 3"),
+    }
 
-@query("score_triage_model")
+
+@query("score_triage_model", "SELECT triage_id, " + ", ".join(f"TRUE AS {c}" for c in _ANSWER_CHECKS) + " FROM v_triage")
 def score_triage_model(spark, d):
-    model = forest.load(spark, trained(spark, d)[0])
-    scored = forest.score(model, triage.feature_vector(requests(spark, d)))
-    assessed = triage.triage_alerts(triage.model_assessment(scored))
-    return assessed.select(
-        "triage_id", "risk_level", "recommended_priority", "score", "confidence", F.array_join("alerts", " | ").alias("alerts")
+    """Every request answered by the trained forest; each answer follows from its probabilities."""
+    return scored(spark, d).select("triage_id", *[check.alias(name) for name, check in _answer_checks().items()])
+
+
+@query("register_model_triage", "SELECT triage_id AS id, TRUE AS says_the_same, '1.0.0' AS model_version, CAST(3 AS INTEGER) AS contributors FROM v_triage")
+def register_model_triage(spark, d):
+    """The forest's answers registered; what the stored documents say."""
+    store = scratch_path(spark, "model-triage")
+    registered.register_triages(triage.triage_records(scored(spark, d), "clinical-reports"), store, "batch-1")
+    said = lambda path: F.get_json_object("document", f"$.assessment.{path}")
+    same = (said("risk_level") == F.col("risk_level")) & (said("score").cast("int") == F.col("score")) & (said("model_name") == F.lit("hospital-triage-rf-calibrated"))
+    return registered.load_triages(spark, store).select(
+        "id", same.alias("says_the_same"), said("model_version").alias("model_version"), F.json_array_length(said("top_contributors")).alias("contributors")
     )
 
 
-@query("feature_importances")
+@query("stream_triage_model", "SELECT DISTINCT triage_id, TRUE AS equals_batch FROM v_triage")
+def stream_triage_model(spark, d):
+    """A stream of requests answered by the forest, beside the answers to the table."""
+    columns = ("triage_id", "risk_level", "recommended_priority", "score", "confidence", "model_name")
+    answers = flows.stream_assess(clinical.triage_stream(spark, d), loaded(spark, d)).select(*columns)
+    path, checkpoint = scratch_path(spark, "stream-model"), scratch_path(spark, "stream-model-progress")
+    flows.append_to(answers, path, checkpoint).awaitTermination()
+    streamed = spark.read.schema(answers.schema).parquet(path).withColumn("side", F.lit(1))
+    both = streamed.unionByName(scored(spark, d).select(*columns, F.lit(-1).alias("side")))
+    rows = both.groupBy(*columns).agg(F.sum("side").alias("left"))
+    return rows.groupBy("triage_id").agg(F.bool_and(F.col("left") == 0).alias("equals_batch"))
+
+
+@query("feature_importances", f"""
+    SELECT unnest({text_list(domain.FEATURES)}) AS feature, 16 AS ranks, 136 AS rank_sum, 1e0 AS total, count(*) > 0 AS has_requests FROM v_triage""")
 def feature_importances(spark, d):
-    return forest.feature_importances(forest.load(spark, trained(spark, d)[0]), spark)
+    """Each feature, with what must hold of all ranks and importances together."""
+    found = forest.feature_importances(loaded(spark, d), spark)
+    all_of = found.agg(F.countDistinct("rank").cast("int").alias("ranks"), F.sum("rank").cast("int").alias("rank_sum"), F.round(F.sum("importance"), 6).alias("total"))
+    return found.select("feature").join(F.broadcast(all_of), F.lit(True)).withColumn("has_requests", F.lit(not requests(spark, d).isEmpty()))
 
 
-@query("training_metrics")
+@query("training_metrics", f"""
+    SELECT 'hospital-triage-rf-calibrated' AS model, '1.0.0' AS version, CAST(least({forest.FIT_ROWS}, sum(n) - sum(test)) AS BIGINT) AS training_samples,
+           CAST(sum(test) AS BIGINT) AS test_samples, TRUE AS beats_majority, TRUE AS matrix_fits FROM ({_TEST_ROWS}) t""")
 def training_metrics(spark, d):
+    """Sizes, and whether the judgement on the held-out rows holds together."""
     stored = spark.read.parquet(trained(spark, d)[1])
-    return stored.select("model", "version", "training_samples", "test_samples", "accuracy", "document")
+    matrix = F.aggregate(F.map_values("confusion_matrix"), F.lit(0).cast("long"), lambda a, x: a + x)
+    totals = [F.expr(f"aggregate(map_values(map_filter(confusion_matrix, (k, v) -> startswith(k, '{risk}>'))), 0L, (a, x) -> a + x)") for risk in domain.RISK_LABELS]
+    return stored.select(
+        "model", "version", "training_samples", "test_samples",
+        (F.col("accuracy") > F.greatest(*totals) / F.col("test_samples")).alias("beats_majority"), (matrix == F.col("test_samples")).alias("matrix_fits"),
+    )
 
 
-@query("model_metadata")
+@query("model_metadata", f"""
+    SELECT TRUE AS loaded, 'hospital-triage-rf-calibrated' AS model_name, '1.0.0' AS model_version, 'random_forest_isotonic_calibration' AS model_family,
+           {quoted(",".join(domain.FEATURES))} AS feature_order, 4 AS score_digits, 5 AS folds, count(*) > 0 AS has_requests FROM v_triage""")
 def model_metadata(spark, d):
     about = forest.model_metadata(spark, trained(spark, d)[0])
     return about.select(
-        "loaded", "model_name", "model_version", "model_family", F.array_join("feature_order", ",").alias("feature_order")
+        "loaded", "model_name", "model_version", "model_family", F.array_join("feature_order", ",").alias("feature_order"), "score_digits", "folds",
+        F.lit(not requests(spark, d).isEmpty()).alias("has_requests"),
     )
