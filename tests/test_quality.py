@@ -175,3 +175,7 @@ def test_stream_keeps_first_arrivals(spark, tmp_path):
     runs = {r.id: (r.processed_count, r.rejected_count) for r in tables.load(spark, str(store), "pipeline_runs").collect()}
     assert runs == {"stream-0": (6, 4), "stream-1": (1, 1)}
     assert {r.study_id for r in ingest.stored_outcome(spark, f"{output}/batch=1", "accepted").collect()} == {"Y2"}
+    settled = {side: {r.study_id for r in flows.settled_outcome(spark, str(output), str(store), side).collect()} for side in ("accepted", "rejected")}
+    whole = {r.study_id: r.is_accepted for r in quality.assess_batch(batch(spark, [*ROWS, ("Y1", "5", "F", "uploads/h1.png", "Sana"), ("Y2", "5", "F", "uploads/new.png", "Sana")])).collect()}
+    assert settled == {"accepted": {i for i, good in whole.items() if good}, "rejected": {i for i, good in whole.items() if not good}}
+    assert "X1" in settled["rejected"]

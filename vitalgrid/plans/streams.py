@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid import domain
 from vitalgrid.plans.registry import query
 from vitalgrid.session import scratch_path
-from vitalgrid.sources import clinical, tables
+from vitalgrid.sources import clinical
 from vitalgrid.streaming import flows
 
 
@@ -41,14 +41,16 @@ def stream_open_event_counts(spark, d):
     return flows.open_counts(spark, path)
 
 
-@query("stream_ingest_studies", """
-    SELECT count(*) FILTER (WHERE is_accepted) AS processed_count, count(*) FILTER (WHERE NOT is_accepted) AS rejected_count FROM v_assessed""")
+_BATCH_COLUMNS = ", ".join(f"nullif({c}, '') AS {c}" for c in domain.REQUIRED_COLUMNS)
+
+
+@query("stream_ingest_studies", f"SELECT CASE WHEN is_accepted THEN 'accepted' ELSE 'rejected' END AS outcome, {_BATCH_COLUMNS} FROM v_assessed")
 def stream_ingest_studies(spark, d):
-    """One micro-batch of the whole batch, so that duplicates are those of the batch job."""
+    """Five files in as many micro-batches; settled, the rows are those of the batch job."""
     names = ("incoming", "stream-outcome", "stream-store", "stream-progress")
     source, output, store, checkpoint = (scratch_path(spark, name) for name in names)
-    clinical.studies_raw(spark, d).write.option("header", True).csv(source)
-    flows.stream_ingest(spark, source, output, store, checkpoint).awaitTermination()
-    return tables.load(spark, store, "pipeline_runs").agg(
-        F.sum("processed_count").alias("processed_count"), F.sum("rejected_count").alias("rejected_count")
-    )
+    clinical.studies_raw(spark, d).repartition(5, "study_id").write.option("header", True).csv(source)
+    flows.stream_ingest(spark, source, output, store, checkpoint, files_per_batch=1).awaitTermination()
+    columns = [F.nullif(F.col(c), F.lit("")).alias(c) for c in domain.REQUIRED_COLUMNS]
+    sides = [flows.settled_outcome(spark, output, store, side).select(F.lit(side).alias("outcome"), *columns) for side in ("accepted", "rejected")]
+    return sides[0].unionByName(sides[1])
