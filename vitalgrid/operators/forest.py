@@ -180,7 +180,7 @@ def with_prediction(scored: DataFrame, labels: Sequence[str] = domain.RISK_LABEL
     return scored.withColumn("predicted", nth(literals(labels), position))
 
 
-def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str, training_rows: int, seconds: float = 0.0) -> DataFrame:
+def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str, training_rows: int, fitted_rows: int | None = None, seconds: float = 0.0) -> DataFrame:
     """One metrics document of a scored test set: sizes, accuracy, report, matrix, importances."""
     judged = with_prediction(scored, model.labels)
     matrix = materialize(evaluation.confusion_matrix(judged, actual, "predicted", model.labels), "test-matrix")
@@ -198,6 +198,7 @@ def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str,
         F.lit(domain.FOREST_MODEL_NAME).alias("model"),
         F.lit(domain.FOREST_MODEL_VERSION).alias("version"),
         F.lit(training_rows).cast("long").alias("training_samples"),
+        F.lit(training_rows if fitted_rows is None else fitted_rows).cast("long").alias("fitted_samples"),
         "test_samples",
         F.lit(float(seconds)).alias("duration_seconds"),
         F.try_divide(hits.scalar(), F.col("test_samples")).alias("accuracy"),
@@ -241,13 +242,14 @@ def train_and_report(
     """
     started = perf_counter()
     parts = materialize(split_rows(table, label, seed), "parts")
-    train = bounded_rows(parts.filter("subset = 'train'"), fit_rows, seed)
+    part = parts.filter("subset = 'train'")
+    train = bounded_rows(part, fit_rows, seed)
     test = parts.filter("subset = 'val'")
     rows = materialize(training_rows(train, label), "training-rows")
     model = train_calibrated(rows, trees=trees, depth=depth, seed=seed, folds=folds, score_digits=score_digits)
     save(model, table.sparkSession, path)
     scored = score(model, test)
-    metrics = training_metrics(scored, model, actual=label, training_rows=rows.count(), seconds=round(perf_counter() - started, 2))
+    metrics = training_metrics(scored, model, actual=label, training_rows=part.count(), fitted_rows=rows.count(), seconds=round(perf_counter() - started, 2))
     return model, metrics
 
 

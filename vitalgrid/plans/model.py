@@ -167,7 +167,8 @@ def feature_importances(spark, d):
 
 
 @query("training_metrics", f"""
-    SELECT 'hospital-triage-rf-calibrated' AS model, '1.0.0' AS version, CAST(least({FIT_ROWS}, sum(n) - sum(test)) AS BIGINT) AS training_samples,
+    SELECT 'hospital-triage-rf-calibrated' AS model, '1.0.0' AS version, CAST(sum(n) - sum(test) AS BIGINT) AS training_samples,
+           CAST(least({FIT_ROWS}, sum(n) - sum(test)) AS BIGINT) AS fitted_samples,
            CAST(sum(test) AS BIGINT) AS test_samples, TRUE AS beats_majority, TRUE AS matrix_fits FROM ({_TEST_ROWS}) t""")
 def training_metrics(spark, d):
     """Sizes, and whether the judgement on the held-out rows holds together."""
@@ -175,7 +176,7 @@ def training_metrics(spark, d):
     matrix = F.aggregate(F.map_values("confusion_matrix"), F.lit(0).cast("long"), lambda a, x: a + x)
     totals = [F.expr(f"aggregate(map_values(map_filter(confusion_matrix, (k, v) -> startswith(k, '{risk}>'))), 0L, (a, x) -> a + x)") for risk in domain.RISK_LABELS]
     return stored.select(
-        "model", "version", "training_samples", "test_samples",
+        "model", "version", "training_samples", "fitted_samples", "test_samples",
         (F.col("accuracy") > F.greatest(*totals) / F.col("test_samples")).alias("beats_majority"), (matrix == F.col("test_samples")).alias("matrix_fits"),
     )
 
