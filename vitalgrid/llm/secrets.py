@@ -93,7 +93,8 @@ def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col
 
     Returns the findings (blob_id, spans) of the current rules. Earlier versions stay in the
     ledger. A run that is repeated scans nothing again; a version filed twice counts once
-    where the ledger is read. NULL text is an empty blob.
+    where the ledger is read. One run at a time may write to a ledger, so that a blob has one
+    row of findings per rule version. NULL text is an empty blob.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -104,13 +105,13 @@ def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col
     unseen = filed.select("blob_id", "text").join(findings().select("blob_id"), "blob_id", "left_anti").dropDuplicates(["blob_id"])
     scanned = unseen.select("blob_id", F.lit(current).alias("rules"), spans(F.col("text"), F.lower("text"), rules).alias("spans"))
     scanned.write.mode("append").parquet(f"{ledger}/findings")
-    return findings().select("blob_id", "spans").dropDuplicates(["blob_id"])
+    return findings().select("blob_id", "spans")
 
 
 def findings_by_path(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, blob_id, spans) of every historical version that holds a secret under these rules."""
     found = spark.read.parquet(f"{ledger}/findings").where((F.col("rules") == rule_version(rules)) & (F.size("spans") > 0))
-    return spark.read.parquet(f"{ledger}/versions").distinct().join(found.select("blob_id", "spans").dropDuplicates(["blob_id"]), "blob_id").select("path", "blob_id", "spans")
+    return spark.read.parquet(f"{ledger}/versions").distinct().join(found.select("blob_id", "spans"), "blob_id").select("path", "blob_id", "spans")
 
 
 def new_ledger(docs: DataFrame, id_col: str = "doc_id") -> str:
