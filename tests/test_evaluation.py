@@ -110,3 +110,27 @@ def test_forest_learns_and_survives_storage(spark, tmp_path):
     assert about.loaded and tuple(about.feature_order) == domain.FEATURES
     missing = forest.model_metadata(spark, str(tmp_path / "nothing")).first()
     assert missing.loaded is False and "nothing" in missing.reason
+
+
+def test_fitted_rows_are_drawn_per_class(spark):
+    """A class of one row in two hundred is fitted whole; the others share what it leaves."""
+    ids = spark.range(4000).select(F.concat(F.lit("t"), "id").alias("triage_id"), F.when(F.col("id") % 200 == 0, "critical").when(F.col("id") % 4 == 1, "medium").otherwise("low").alias("label"))
+    drawn = forest.bounded_rows(materialize(ids, "skewed"), 600, "label")
+    assert {r.label: r["count"] for r in drawn.groupBy("label").count().collect()} == {"critical": 20, "medium": 290, "low": 290}
+    assert drawn.distinct().count() == 600
+    assert forest.bounded_rows(ids, 4000, "label").count() == 4000
+
+
+def test_calibration_covers_all_training_rows(spark):
+    """The curves come from every held-out row, not only from those that are fitted."""
+    table = forest.feature_table(model_queries.labelled(spark, "/root/testdata/sf0.001"), "severity_label")
+    fitted = forest.bounded_rows(table, 200, "severity_label")
+    rows, held = (materialize(forest.training_rows(t, "severity_label"), "rows") for t in (fitted, table))
+    folds = forest.calibrate(rows, held, folds=2, trees=3, depth=4)
+    for number, (model, calibrators) in enumerate(folds):
+        own = forest._class_scores(model, held.filter(forest._fold(2, forest.SEED) == number)).select("label", "_scores").collect()
+        for label, calibrator in enumerate(calibrators):
+            assert {min(calibrator.boundaries), max(calibrator.boundaries)} == {f([round(r._scores[label], 4) for r in own]) for f in (min, max)}
+            predicted = [calibrator.predict(round(r._scores[label], 4)) for r in own]
+            assert sum(predicted) == pytest.approx(sum(r.label == label for r in own), rel=1e-6)
+    assert model_queries.forest.FIT_ROWS == 8000 and not hasattr(model_queries, "FIT_ROWS")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from time import perf_counter
 
@@ -24,7 +25,7 @@ from vitalgrid.session import materialize
 
 TREES, DEPTH, SEED, FOLDS, TEST_RATIO = 400, 12, 42, 5, 0.2
 # Most labelled rows a forest is fitted on, unless told otherwise: as many as the published
-# training set has. Everything that is scored or judged is scored and judged in full.
+# training set has. Everything that is calibrated on, scored or judged is so in full.
 FIT_ROWS = 8000
 # Decimal places of the grid that scores are calibrated on, unless told otherwise (those that
 # probabilities are reported with). Each class then fits on at most 10 001 weighted points,
@@ -86,16 +87,19 @@ def _class_scores(model: RandomForestClassificationModel, rows: DataFrame) -> Da
     return model.transform(rows).withColumn("_scores", vector_to_array("probability"))
 
 
-def calibrate(rows: DataFrame, *, folds: int = FOLDS, seed: int = SEED, trees: int = TREES, depth: int = DEPTH, score_digits: int = SCORE_DIGITS):
-    """Per fold: a forest of the other folds, and isotonic calibrators of the held-out rows.
+def calibrate(rows: DataFrame, held: DataFrame | None = None, *, folds: int = FOLDS, seed: int = SEED, trees: int = TREES, depth: int = DEPTH, score_digits: int = SCORE_DIGITS):
+    """Per fold: a forest of the other folds of ``rows``, and isotonic calibrators of the fold held out.
 
-    The held-out scores, rounded to ``score_digits`` places, shrink to counts per class and
+    ``held``: all rows to calibrate on, ``rows`` itself unless given; a fold holds the same ids
+    in both, so that no forest judges a row it was fitted on. The held-out scores, rounded to ``score_digits`` places, shrink to counts per class and
     score before they are fitted.
     """
 
+    held = rows if held is None else held
+
     def fit(held_out: int):
         model = train_forest(rows.filter(_fold(folds, seed) != held_out), trees=trees, depth=depth, seed=seed)
-        scored = _class_scores(model, rows.filter(_fold(folds, seed) == held_out))
+        scored = _class_scores(model, held.filter(_fold(folds, seed) == held_out))
         points = scored.select("label", F.posexplode_outer("_scores").alias("class", "score")).groupBy(
             "class", F.round("score", score_digits).alias("features")
         ).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.count_if(F.col("label") == F.col("class")).alias("hits"))
@@ -124,9 +128,9 @@ def curves_rise(model: CalibratedForest) -> bool:
     return all(0 <= a <= b <= 1 for curve in curves for a, b in zip(curve, curve[1:]))
 
 
-def train_calibrated(rows: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS, score_digits: int = SCORE_DIGITS) -> CalibratedForest:
+def train_calibrated(rows: DataFrame, held: DataFrame | None = None, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS, score_digits: int = SCORE_DIGITS) -> CalibratedForest:
     base = train_forest(rows, trees=trees, depth=depth, seed=seed)
-    fitted = calibrate(rows, folds=folds, seed=seed, trees=trees, depth=depth, score_digits=score_digits)
+    fitted = calibrate(rows, held, folds=folds, seed=seed, trees=trees, depth=depth, score_digits=score_digits)
     return CalibratedForest(base, fitted, score_digits=score_digits)
 
 
@@ -219,9 +223,23 @@ def split_rows(table: DataFrame, label: str, seed: int = SEED) -> DataFrame:
     return evaluation.stratified_split(table, label, "triage_id", TEST_RATIO, seed + 1)
 
 
-def bounded_rows(table: DataFrame, rows: int | None, seed: int = SEED) -> DataFrame:
-    """At most ``rows`` rows of a labelled table to fit a forest on, chosen by the hash of their ids; all if None."""
-    return table if rows is None else table.orderBy(F.xxhash64(F.lit(seed), F.col("triage_id")), "triage_id").limit(rows)
+def class_quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows to take of each class: equal shares; what a small class leaves goes to the larger ones."""
+    quotas, left = {}, rows
+    for place, label in enumerate(sorted(counts, key=lambda c: (counts[c], str(c)))):
+        quotas[label] = min(counts[label], left // (len(counts) - place))
+        left -= quotas[label]
+    return quotas
+
+
+def bounded_rows(table: DataFrame, rows: int | None, label: str, seed: int = SEED) -> DataFrame:
+    """At most ``rows`` rows of a labelled table to fit a forest on, drawn per class by the hash of their ids; all if None."""
+    counts = {} if rows is None else {r[label]: r["count"] for r in table.groupBy(label).count().collect()}
+    if rows is None or sum(counts.values()) <= rows:
+        return table
+    order = (F.xxhash64(F.lit(seed), F.col("triage_id")), "triage_id")
+    drawn = [table.filter(F.col(label).eqNullSafe(F.lit(c))).orderBy(*order).limit(n) for c, n in class_quotas(counts, rows).items()]
+    return reduce(DataFrame.unionByName, drawn)
 
 
 def train_and_report(
@@ -238,15 +256,16 @@ def train_and_report(
 ):
     """Split a feature table, train, save and evaluate: the model and its metrics document.
 
-    Trained on at most ``fit_rows`` rows of the training part, judged on the whole rest.
+    The forests are fitted on at most ``fit_rows`` rows of the training part and calibrated on
+    all of it; the model is judged on the whole rest.
     """
     started = perf_counter()
     parts = materialize(split_rows(table, label, seed), "parts")
     part = parts.filter("subset = 'train'")
-    train = bounded_rows(part, fit_rows, seed)
+    train = bounded_rows(part, fit_rows, label, seed)
     test = parts.filter("subset = 'val'")
     rows = materialize(training_rows(train, label), "training-rows")
-    model = train_calibrated(rows, trees=trees, depth=depth, seed=seed, folds=folds, score_digits=score_digits)
+    model = train_calibrated(rows, training_rows(part, label), trees=trees, depth=depth, seed=seed, folds=folds, score_digits=score_digits)
     save(model, table.sparkSession, path)
     scored = score(model, test)
     metrics = training_metrics(scored, model, actual=label, training_rows=part.count(), fitted_rows=rows.count(), seconds=round(perf_counter() - started, 2))

@@ -2,7 +2,8 @@
 
 The forest of a table folder is trained once per application and stored in the shared
 folder; the queries load it from there, so the first of them pays for the others. It has
-the size of ``operators.forest``, fitted on at most ``FIT_ROWS`` rows; all rows are scored.
+the size of ``operators.forest``, fitted on at most ``forest.FIT_ROWS`` rows and calibrated on
+the whole training part; all rows are scored.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from vitalgrid.session import scratch_path
 from vitalgrid.sources import clinical, registered
 from vitalgrid.streaming import flows
 
-#: Rows the checked forest is fitted on: fewer than ``forest.FIT_ROWS``, for a check's time; its size is the full one.
-FIT_ROWS = 600
 NOISE_RATE, SEED = 0.06, 42
 _trained: dict[tuple, tuple[str, str]] = {}
 
@@ -33,11 +32,11 @@ def labelled(spark, d):
 
 def trained(spark, d) -> tuple[str, str]:
     """Paths of the stored model and of its stored metrics document."""
-    key = (spark.sparkContext.applicationId, d, forest.TREES, forest.DEPTH, forest.FOLDS, FIT_ROWS, NOISE_RATE, SEED)
+    key = (spark.sparkContext.applicationId, d, forest.TREES, forest.DEPTH, forest.FOLDS, forest.FIT_ROWS, NOISE_RATE, SEED)
     if key not in _trained:
         model_path, metrics_path = scratch_path(spark, "model"), scratch_path(spark, "model-metrics")
         table = forest.feature_table(labelled(spark, d), "severity_label")
-        _, metrics = forest.train_and_report(table, "severity_label", model_path, seed=SEED, fit_rows=FIT_ROWS)
+        _, metrics = forest.train_and_report(table, "severity_label", model_path, seed=SEED)
         metrics.write.parquet(metrics_path)
         _trained[key] = (model_path, metrics_path)
     return _trained[key]
@@ -168,7 +167,7 @@ def feature_importances(spark, d):
 
 @query("training_metrics", f"""
     SELECT 'hospital-triage-rf-calibrated' AS model, '1.0.0' AS version, CAST(sum(n) - sum(test) AS BIGINT) AS training_samples,
-           CAST(least({FIT_ROWS}, sum(n) - sum(test)) AS BIGINT) AS fitted_samples,
+           CAST(least({forest.FIT_ROWS}, sum(n) - sum(test)) AS BIGINT) AS fitted_samples,
            CAST(sum(test) AS BIGINT) AS test_samples, TRUE AS beats_majority, TRUE AS matrix_fits FROM ({_TEST_ROWS}) t""")
 def training_metrics(spark, d):
     """Sizes, and whether the judgement on the held-out rows holds together."""
