@@ -5,11 +5,13 @@ beginnings, so that inflected forms share most of it and words that share a row
 are told apart by the others. Filters of one, two and three words slide over the text, each
 keeps its largest response (max pooling), and a logistic layer weighs them. The network is
 trained here, in numpy, on a bounded sample of labelled documents; the threshold is set for
-each language, which is recognised by its function words.
+each language, which is recognised by its function words, on all labelled documents that were
+not fitted.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,10 @@ TABLE_START = 3e-4
 AT_THRESHOLD = 0.7
 #: Fewer calibration documents of either class, and a language has the common threshold.
 LEAST_CALIBRATION = 15
+#: Steps to a unit of the logits that thresholds are chosen from, and the largest logit told apart.
+GRID, FARTHEST = 256, 64
+#: Up to this many labels their ids are broadcast.
+FEW_LABELS = 1 << 20
 #: Words scored together.
 TOGETHER = 1 << 17
 #: Distinct words a task remembers.
@@ -189,15 +195,13 @@ def train(documents: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, epo
     return net
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray, clean_weight: float) -> float:
-    """The logit between two documents at which F1 is largest; clean ones stand for ``clean_weight`` each."""
+def best_threshold(logits: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit between two steps of the grid at which F1 is largest; weights of the documents at each of ``logits``, all distinct."""
     order = np.argsort(-logits)
-    toxic = labels[order] > 0
-    caught, wrong = np.cumsum(toxic), np.cumsum(~toxic) * clean_weight
-    f1 = 2 * caught / (caught + wrong + toxic.sum())
-    best = int(f1.argmax())
-    sorted_logits = logits[order]
-    return float((sorted_logits[best] + sorted_logits[min(best + 1, len(order) - 1)]) / 2)
+    caught, wrong = np.cumsum(toxic[order]), np.cumsum(clean[order])
+    best = int((2 * caught / (caught + wrong + toxic.sum())).argmax())
+    below = logits[order[best + 1]] if best + 1 < len(order) else logits[order[best]] - 1 / GRID
+    return float((logits[order[best]] + below) / 2)
 
 
 @dataclass
@@ -230,49 +234,101 @@ class Scorer:
             first = last
         return np.concatenate(out)
 
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Recognised languages and logits."""
+        if len(self.words) > REMEMBERED:
+            self.__init__(self.classifier)
+        documents = [self.words.encode(t) for t in texts]
+        return np.array([language_of(self.words.languages[d]) for d in documents]), self.logits(documents)
+
+    def codes(self, texts: list[str]) -> np.ndarray:
+        """The step of the grid next to the logit, times the number of languages, plus the language."""
+        languages, logits = self.judge(texts)
+        return np.rint(np.clip(logits, -FARTHEST, FARTHEST) * GRID).astype(np.int64) * len(LANGUAGES) + languages
+
     def scores(self, texts: list[str]) -> np.ndarray:
         classifier = self.classifier
         if classifier.network is None or not texts:
             return np.full(len(texts), classifier.share)
-        if len(self.words) > REMEMBERED:
-            self.__init__(classifier)
-        documents = [self.words.encode(t) for t in texts]
-        thresholds = classifier.thresholds[[language_of(self.words.languages[d]) for d in documents]]
-        margin = self.logits(documents) - thresholds
+        languages, logits = self.judge(texts)
+        margin = logits - classifier.thresholds[languages]
         return 1 / (1 + np.exp(-np.clip(margin + np.log(AT_THRESHOLD / (1 - AT_THRESHOLD)), -500, 500)))
 
 
 def fit(texts: list[str], labels: np.ndarray, totals: dict[int, int], seed: int = 7) -> Classifier:
-    """Trains on four fifths, sets the thresholds on the rest. ``totals``: labelled documents by class."""
+    """Trains on all of ``texts``; thresholds are not set. ``totals``: labelled documents by class."""
     unset, share = np.zeros(len(LANGUAGES)), totals.get(1, 0) / max(1, sum(totals.values()))
-    held = np.arange(len(labels)) % 5 == 4
-    if min((labels[~held] > 0).sum(), (labels[~held] == 0).sum()) < 1:
+    if min((labels > 0).sum(), (labels == 0).sum()) < 1:
         return Classifier(None, unset, share)
     words = Words()
-    documents = [words.encode(t) for t, h in zip(texts, held) if not h]
-    classifier = Classifier(train(documents, words.rows[: len(words)], labels[~held], seed=seed), unset, share)
-    marks = labels[held]
-    if min((marks > 0).sum(), (marks == 0).sum()) < 1:
-        return classifier
-    scorer = Scorer(classifier)
-    rest = [scorer.words.encode(t) for t, h in zip(texts, held) if h]
-    logits = scorer.logits(rest)
-    clean_weight = totals[0] / max(1, (labels == 0).sum()) * (labels > 0).sum() / max(1, totals[1])
-    languages = np.array([language_of(scorer.words.languages[d]) for d in rest])
-    classifier.thresholds = np.full(len(LANGUAGES), best_threshold(logits, marks, clean_weight))
-    for language in range(len(LANGUAGES)):
-        own = languages == language
-        if min((marks[own] > 0).sum(), (marks[own] == 0).sum()) >= LEAST_CALIBRATION:
-            classifier.thresholds[language] = best_threshold(logits[own], marks[own], clean_weight)
-    return classifier
+    documents = [words.encode(t) for t in texts]
+    return Classifier(train(documents, words.rows[: len(words)], labels, seed=seed), unset, share)
+
+
+def calibration_counts(docs: DataFrame, known: DataFrame, classifier: Classifier, fitted: list, longest: int, few: bool) -> DataFrame:
+    """(is_fitted, can_be_fitted, label, language, step, n): labelled documents by step of their logit.
+
+    Every document of ``known`` (doc_id, label) is scored, and counts once: of rows with one id
+    the least code does. If the labels are ``few`` their ids are broadcast and only labelled
+    documents are scored; otherwise all are, so that no text is shuffled.
+    """
+    shared, languages = docs.sparkSession.sparkContext.broadcast(classifier), len(LANGUAGES)
+
+    @F.arrow_udf(T.LongType())
+    def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            parts = [scorer.codes([t or "" for t in batch[n : n + 256].to_pylist()]) for n in range(0, len(batch), 256)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.int64())
+
+    rows = docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi") if few else docs
+    short = F.coalesce(F.octet_length("text") <= longest, F.lit(False))
+    coded = rows.select("doc_id", short.alias("short"), codes("text").alias("code"))
+    one = coded.groupBy("doc_id").agg(F.max("short").alias("can_be_fitted"), F.min("code").alias("code"))
+    cells = one.join(known, "doc_id").groupBy(F.col("doc_id").isin(fitted).alias("is_fitted"), "can_be_fitted", "label", "code").agg(F.count("*").alias("n"))
+    return cells.select("is_fitted", "can_be_fitted", "label", F.pmod("code", F.lit(languages)).alias("language"), F.floor(F.col("code") / languages).alias("step"), "n")
+
+
+def choose_thresholds(cells: list) -> np.ndarray:
+    """The threshold of each language, from the documents that were not fitted.
+
+    They stand for the fitted ones as well: a class is weighted by its documents to those of
+    it left, apart for texts that could and that could not be fitted.
+    """
+    totals, left = Counter(), Counter()
+    for c in cells:
+        totals[c["can_be_fitted"], c["label"]] += c["n"]
+        left[c["can_be_fitted"], c["label"]] += 0 if c["is_fitted"] else c["n"]
+    by_language: list[dict] = [{} for _ in range(len(LANGUAGES) + 1)]  # the last: of all of them
+    seen = np.zeros((len(LANGUAGES) + 1, 2), np.int64)
+    for c in cells:
+        if not c["is_fitted"]:
+            group = c["can_be_fitted"], c["label"]
+            for n in (c["language"], len(LANGUAGES)):
+                by_language[n].setdefault(c["step"], [0.0, 0.0])[c["label"]] += c["n"] * totals[group] / left[group]
+                seen[n, c["label"]] += c["n"]
+    thresholds = np.zeros(len(LANGUAGES))
+    for n in (len(LANGUAGES), *range(len(LANGUAGES))):
+        if seen[n].min() >= (1 if n == len(LANGUAGES) else LEAST_CALIBRATION):
+            weights = np.array(list(by_language[n].values()))
+            best = best_threshold(np.array(list(by_language[n])) / GRID, weights[:, 1], weights[:, 0])
+            thresholds[n if n < len(LANGUAGES) else slice(None)] = best
+    return thresholds
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = PER_CLASS, longest: int = LONGEST, label: str = "toxic") -> Classifier:
-    """Fits on at most ``per_class`` labelled documents of each class, of at most ``longest`` bytes: that much the driver holds."""
+    """Fits on four fifths of at most ``per_class`` labelled documents of each class, of at most ``longest``
+    bytes: that much the driver holds. All other labelled documents, of any length, set the thresholds."""
     totals = sampling.class_totals(labels, label, training)
     rows = sampling.labelled_sample(id_and_text(docs), labels, label, training, per_class, longest).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), str(r["doc_id"])))
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], np.float32), totals)
+    fitted = [r for n, r in enumerate(rows) if n % 5 != 4]
+    classifier = fit([r["text"] for r in fitted], np.array([r["label"] for r in fitted], np.float32), totals)
+    if classifier.network is not None:
+        known, few = sampling.marks(labels, label, training), sum(totals.values()) <= FEW_LABELS
+        cells = calibration_counts(id_and_text(docs), known, classifier, [r["doc_id"] for r in fitted], longest, few)
+        classifier.thresholds = choose_thresholds(cells.collect())
+    return classifier
 
 
 def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", keep: tuple[str, ...] = ("*",)) -> DataFrame:
