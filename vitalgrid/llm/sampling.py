@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalgrid.session import materialize
+
 
 def class_totals(labels: DataFrame, label: str, training: Column) -> dict[int, int]:
     """Labelled ids of the training folds by class."""
@@ -20,12 +22,13 @@ def marks(labels: DataFrame, label: str, training: Column) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, longest: int) -> DataFrame:
     """(doc_id, label, text) of at most ``per_class`` documents of each class, chosen by the hash of their ids.
 
-    Two top-k selections over the labels bound what is broadcast to ``2 * per_class`` rows; the
-    documents are read once. Texts of more than ``longest`` bytes are not sampled, others are
-    taken whole; of rows with one id the smallest text is taken.
+    Texts of more than ``longest`` bytes are not sampled, others are taken whole; of rows with one
+    id the smallest text is taken. Labels without such a document are left out first, so that
+    the others fill the sample. Two top-k selections bound what is broadcast to ``2 * per_class``
+    rows.
     """
-    known = marks(labels, label, training)
+    short = docs.where(F.octet_length("text") <= longest)
+    known = materialize(marks(labels, label, training).join(short.select("doc_id"), "doc_id", "left_semi"), "fitting-labels")
     first = lambda c: known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = first(0).unionByName(first(1))
-    short = docs.where(F.octet_length("text") <= longest)
     return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
