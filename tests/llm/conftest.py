@@ -8,8 +8,8 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from plain import SF_DIR
 
-SF_DIR = "/root/testdata/sf0.001"
 #: Columns no operator knows, named like those that operators make.
 CLASHING = ("size", "hash", "bytes", "spans", "fp", "block", "term", "place", "flag", "words", "blob_id", "path", "m", "doc", "label", "score", "of", "taken", "copies", "at", "kind", "n", "root")
 DOCUMENTS = [

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from compare import connect, differences
-from conftest import SF_DIR
+from plain import SF_DIR
 
 import __spark_entry__ as entry
 import corpus_pipeline
