@@ -90,9 +90,10 @@ def test_epoch_metrics(spark):
 def test_forest_learns_and_survives_storage(spark, tmp_path):
     """The forest of the queries, of the published size, as it comes back from storage."""
     rows = forest.feature_table(model_queries.labelled(spark, "/root/testdata/sf0.001"), "severity_label")
-    path, metrics = model_queries.trained(spark, "/root/testdata/sf0.001")
+    path, metrics, _ = model_queries.trained(spark, "/root/testdata/sf0.001")
     model, row = forest.load(spark, path), spark.read.parquet(metrics).first()
-    assert (len(model.folds), model.base.getNumTrees, model.base.getOrDefault("maxDepth")) == (5, 400, 12)
+    assert (len(model.folds), model.base.trees, {g.getOrDefault("maxDepth") for g in model.base.groups}) == (5, 400, {12})
+    assert {f.trees for f, _ in model.folds} == {400}
     majority = rows.groupBy("severity_label").count().orderBy(F.desc("count")).first()["count"] / rows.count()
     assert row.accuracy > majority + 0.1
     assert row.training_samples + row.test_samples == rows.count()
@@ -104,7 +105,7 @@ def test_forest_learns_and_survives_storage(spark, tmp_path):
     again = forest.score(forest.load(spark, str(tmp_path / "model")), rows)
     key = F.sum(F.xxhash64("triage_id", F.transform("probabilities", lambda p: F.round(p, 9))) % 1000003)
     assert scored.agg(key).first() == again.agg(key).first()
-    importances = forest.feature_importances(model, spark)
+    importances = forest.feature_importances(model.base, spark)
     assert importances.agg(F.round(F.sum("importance"), 6)).first()[0] == 1.0
     about = forest.model_metadata(spark, path).first()
     assert about.loaded and tuple(about.feature_order) == domain.FEATURES
@@ -126,11 +127,27 @@ def test_calibration_covers_all_training_rows(spark):
     table = forest.feature_table(model_queries.labelled(spark, "/root/testdata/sf0.001"), "severity_label")
     fitted = forest.bounded_rows(table, 200, "severity_label")
     rows, held = (materialize(forest.training_rows(t, "severity_label"), "rows") for t in (fitted, table))
-    folds = forest.calibrate(rows, held, folds=2, trees=3, depth=4)
+    folds = forest.calibrate(forest.train_folds(rows, folds=2, trees=3, depth=4), held)
     for number, (model, calibrators) in enumerate(folds):
-        own = forest._class_scores(model, held.filter(forest._fold(2, forest.SEED) == number)).select("label", "_scores").collect()
+        own = model.shares(held.filter(forest._fold(2, forest.SEED) == number), "features", "_scores").select("label", "_scores").collect()
         for label, calibrator in enumerate(calibrators):
             assert {min(calibrator.boundaries), max(calibrator.boundaries)} == {f([round(r._scores[label], 4) for r in own]) for f in (min, max)}
             predicted = [calibrator.predict(round(r._scores[label], 4)) for r in own]
             assert sum(predicted) == pytest.approx(sum(r.label == label for r in own), rel=1e-6)
     assert model_queries.forest.FIT_ROWS == 8000 and not hasattr(model_queries, "FIT_ROWS")
+
+
+def test_groups_of_trees_are_one_forest(spark):
+    """Shares and importances of groups grown side by side are the means over all their trees."""
+    table = forest.feature_table(model_queries.labelled(spark, "/root/testdata/sf0.001"), "severity_label")
+    rows = materialize(forest.training_rows(forest.bounded_rows(table, 300, "severity_label"), "severity_label"), "rows")
+    grown = forest.train_forest(rows, trees=5, depth=3, group_trees=2)
+    assert [g.getNumTrees for g in grown.groups] == [2, 2, 1] and grown.trees == 5
+    trees = [(tree, g) for g in grown.groups for tree in g.trees]
+    for r in grown.shares(rows, "features", "shares").limit(20).collect():
+        leaves = [tree.predictLeaf(r.features) for tree, _ in trees]
+        assert len(leaves) == 5 and sum(r.shares) == pytest.approx(1.0)
+        raw = sum(g.predictRaw(r.features).toArray() for g in grown.groups)
+        assert list(r.shares) == pytest.approx(list(raw / 5))
+    single = [sum(v) for v in zip(*[[float(x) for x in tree.featureImportances.toArray()] for tree, _ in trees])]
+    assert grown.importances() == pytest.approx([v / sum(single) for v in single])

@@ -27,7 +27,9 @@ def test_query(spark, connection, name):
 
 
 def test_every_query_is_checked_and_registered():
-    assert set(QUERIES) == set(CHECKS)
+    """What a trained forest answers has no SQL form; a second query checks what follows from it."""
+    without = {"train_triage_forest", "calibrate_isotonic", "score_triage_model", "feature_importances", "training_metrics"}
+    assert set(QUERIES) - set(CHECKS) == without and {f"{name}_checks" for name in without} <= set(CHECKS)
     assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
 
 

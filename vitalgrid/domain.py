@@ -103,6 +103,10 @@ RULES_MODEL_NAME = "hospital-triage-rules-fallback"
 FOREST_MODEL_NAME = "hospital-triage-rf-calibrated"
 FOREST_MODEL_VERSION = "1.0.0"
 FOREST_MODEL_FAMILY = "random_forest_isotonic_calibration"
+SYNTHETIC_BASIS = "MEWS/NEWS2-inspired rules with label noise"
+CLINICAL_READING_HINT = (
+    "Atender especialmente al recall de la clase 'critical' y a los falsos negativos de SpO2 baja o sintomas red-flag."
+)
 TRIAGE_NOTE = (
     "Salida del modelo de triaje. Apoyo a la decision clinica; "
     "no sustituye la valoracion del personal sanitario."

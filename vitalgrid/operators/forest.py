@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 from time import perf_counter
 
@@ -21,7 +21,7 @@ from vitalgrid.functions.arrays import literals, nth
 from vitalgrid.functions.records import document
 from vitalgrid.operators import evaluation
 from vitalgrid.operators.triage import feature_vector, model_answer
-from vitalgrid.session import materialize
+from vitalgrid.session import materialize, shared_dir, spread
 
 TREES, DEPTH, SEED, FOLDS, TEST_RATIO = 400, 12, 42, 5, 0.2
 # Most labelled rows a forest is fitted on, unless told otherwise: as many as the published
@@ -31,14 +31,62 @@ FIT_ROWS = 8000
 # probabilities are reported with). Each class then fits on at most 10 001 weighted points,
 # whatever the number of rows. Stored with the model.
 SCORE_DIGITS = 4
+# Trees that one fit grows; a forest is several fits side by side. Each has one job after the
+# other, with as many partitions as its rows need, so only several of them fill the cores.
+GROUP_TREES = 100
+# Rows of one partition that trees are grown on. A partition holds statistics of every open node,
+# however few rows it has, and all of them are added up: small partitions multiply that.
+PARTITION_ROWS = 10_000
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees in groups that were grown side by side; all trees count alike."""
+
+    groups: tuple[RandomForestClassificationModel, ...]
+
+    @property
+    def trees(self) -> int:
+        return sum(g.getNumTrees for g in self.groups)
+
+    @property
+    def classes(self) -> int:
+        return self.groups[0].numClasses
+
+    @property
+    def depth(self) -> int:
+        return max(t.depth for g in self.groups for t in g.trees)
+
+    def importances(self) -> list[float]:
+        """Mean over the groups, weighted by their trees; adds up to 1 unless no tree splits."""
+        weighted = [[float(v) * g.getNumTrees for v in g.featureImportances.toArray()] for g in self.groups]
+        sums = [sum(column) for column in zip(*weighted)]
+        return [v / sum(sums) if sum(sums) else 0.0 for v in sums]
+
+    def shares(self, rows: DataFrame, vector: str, out: str) -> DataFrame:
+        """``out``: probabilities by class, the mean of the class shares in the leaves of all trees."""
+        votes = [f"{out}_votes{n}" for n in range(len(self.groups))]
+        for group, column in zip(self.groups, votes):
+            rows = group.copy()._set(featuresCol=vector, rawPredictionCol=column, probabilityCol="", predictionCol="").transform(rows)
+        rows = rows.withColumns({c: vector_to_array(c) for c in votes})
+        sums = [reduce(Column.__add__, [F.col(c)[i] for c in votes]) for i in range(self.classes)]
+        return rows.withColumn(out, F.array(*[s / F.lit(float(self.trees)) for s in sums])).drop(*votes)
+
+    def save(self, path: str) -> None:
+        for number, group in enumerate(self.groups):
+            group.write().overwrite().save(f"{path}/group_{number}")
+
+
+def load_forest(path: str, groups: int) -> Forest:
+    return Forest(tuple(RandomForestClassificationModel.load(f"{path}/group_{n}") for n in range(groups)))
 
 
 @dataclass(frozen=True)
 class CalibratedForest:
     """``base`` for importances; per fold a forest and one calibrator per label."""
 
-    base: RandomForestClassificationModel
-    folds: tuple[tuple[RandomForestClassificationModel, tuple[IsotonicRegressionModel, ...]], ...]
+    base: Forest
+    folds: tuple[tuple[Forest, tuple[IsotonicRegressionModel, ...]], ...]
     labels: tuple[str, ...] = domain.RISK_LABELS
     score_digits: int = SCORE_DIGITS
 
@@ -49,7 +97,7 @@ def feature_table(labelled: DataFrame, label: str) -> DataFrame:
     Training passes over its input many times. A filter or join on a stored label also
     stays one: on a computed label it would repeat the whole derivation of the label.
     """
-    columns = feature_vector(labelled).select("triage_id", "features", label)
+    columns = feature_vector(spread(labelled, "triage_id")).select("triage_id", "features", label)
     return materialize(columns, "features")
 
 
@@ -66,49 +114,74 @@ def training_rows(table: DataFrame, label: str, labels: Sequence[str] = domain.R
     )
 
 
-def train_forest(rows: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
-    return RandomForestClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        numTrees=trees,
-        maxDepth=depth,
-        featureSubsetStrategy="sqrt",
-        seed=seed,
-        maxMemoryInMB=1024,
-    ).fit(rows)
+def _side_by_side(spark: SparkSession, jobs: Sequence) -> list:
+    """Results of functions without arguments. Each waits for many short jobs; others fill the gaps."""
+    if not jobs:
+        return []
+    with ThreadPool(min(len(jobs), spark.sparkContext.defaultParallelism)) as threads:
+        return threads.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
+
+
+def _fits(rows: DataFrame, *, trees: int, depth: int, seed: int, group_trees: int = GROUP_TREES, partition_rows: int = PARTITION_ROWS) -> list:
+    """Functions that each grow one group of a forest's trees.
+
+    The node that a row has reached in every tree is kept with the row, and checkpointed in
+    the shared folder; without that, each level would send all trees to the tasks.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
+    dealt = rows.coalesce(max(1, -(-rows.count() // partition_rows)))
+
+    def fit(number: int) -> RandomForestClassificationModel:
+        return RandomForestClassifier(
+            featuresCol="features",
+            labelCol="label",
+            weightCol="weight",
+            numTrees=min(group_trees, trees - number * group_trees),
+            maxDepth=depth,
+            featureSubsetStrategy="sqrt",
+            seed=seed + number,
+            cacheNodeIds=True,
+            checkpointInterval=5,
+        ).fit(dealt)
+
+    return [partial(fit, number) for number in range(-(-trees // group_trees))]
+
+
+def train_forest(rows: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, group_trees: int = GROUP_TREES) -> Forest:
+    """The forest of ``rows`` (features, label, weight), its groups of trees grown side by side."""
+    return Forest(tuple(_side_by_side(rows.sparkSession, _fits(rows, trees=trees, depth=depth, seed=seed, group_trees=group_trees))))
 
 
 def _fold(folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("triage_id")), F.lit(folds))
 
 
-def _class_scores(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("_scores", vector_to_array("probability"))
+def train_folds(rows: DataFrame, *, folds: int = FOLDS, seed: int = SEED, trees: int = TREES, depth: int = DEPTH) -> list[Forest]:
+    """For each fold the forest of the other folds' rows; the groups of all forests side by side."""
+    fits = [_fits(rows.filter(_fold(folds, seed) != n), trees=trees, depth=depth, seed=seed) for n in range(folds)]
+    grown = iter(_side_by_side(rows.sparkSession, [fit for forest in fits for fit in forest]))
+    return [Forest(tuple(next(grown) for _ in forest)) for forest in fits]
 
 
-def calibrate(rows: DataFrame, held: DataFrame | None = None, *, folds: int = FOLDS, seed: int = SEED, trees: int = TREES, depth: int = DEPTH, score_digits: int = SCORE_DIGITS):
-    """Per fold: a forest of the other folds of ``rows``, and isotonic calibrators of the fold held out.
+def calibrate(forests: Sequence[Forest], held: DataFrame, *, seed: int = SEED, score_digits: int = SCORE_DIGITS):
+    """Each forest with the isotonic calibrators of its fold, the one it was not grown on.
 
-    ``held``: all rows to calibrate on, ``rows`` itself unless given; a fold holds the same ids
-    in both, so that no forest judges a row it was fitted on. The held-out scores, rounded to ``score_digits`` places, shrink to counts per class and
-    score before they are fitted.
+    ``held``: all rows to calibrate on. The held-out scores, rounded to ``score_digits``
+    places, shrink to counts per class and score before they are fitted.
     """
+    spark, folds = held.sparkSession, len(forests)
 
-    held = rows if held is None else held
-
-    def fit(held_out: int):
-        model = train_forest(rows.filter(_fold(folds, seed) != held_out), trees=trees, depth=depth, seed=seed)
-        scored = _class_scores(model, held.filter(_fold(folds, seed) == held_out))
+    def fit(number: int):
+        scored = forests[number].shares(held.filter(_fold(folds, seed) == number), "features", "_scores")
         points = scored.select("label", F.posexplode_outer("_scores").alias("class", "score")).groupBy(
             "class", F.round("score", score_digits).alias("features")
         ).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.count_if(F.col("label") == F.col("class")).alias("hits"))
         points = materialize(points.withColumn("label", F.col("hits") / F.col("weight")), "calibration-points")
-        return model, tuple(_calibrator(points, index) for index in range(model.numClasses))
+        return forests[number], tuple(_calibrator(points, index) for index in range(forests[number].classes))
 
-    # a fit waits for many short jobs; fits side by side fill the gaps
-    with ThreadPool(folds) as side_by_side:
-        return tuple(side_by_side.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds)))
+    return tuple(_side_by_side(spark, [partial(fit, number) for number in range(folds)]))
 
 
 def _calibrator(points: DataFrame, index: int) -> IsotonicRegressionModel:
@@ -128,10 +201,13 @@ def curves_rise(model: CalibratedForest) -> bool:
     return all(0 <= a <= b <= 1 for curve in curves for a, b in zip(curve, curve[1:]))
 
 
-def train_calibrated(rows: DataFrame, held: DataFrame | None = None, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS, score_digits: int = SCORE_DIGITS) -> CalibratedForest:
-    base = train_forest(rows, trees=trees, depth=depth, seed=seed)
-    fitted = calibrate(rows, held, folds=folds, seed=seed, trees=trees, depth=depth, score_digits=score_digits)
-    return CalibratedForest(base, fitted, score_digits=score_digits)
+def train_calibrated(rows: DataFrame, held: DataFrame | None = None, *, base: Forest | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, folds: int = FOLDS, score_digits: int = SCORE_DIGITS) -> CalibratedForest:
+    """``held``: all rows to calibrate on, ``rows`` itself unless given; a fold holds the same
+    ids in both, so that no forest judges a row it was grown on. ``base``: the forest of all
+    ``rows``, if there is one already."""
+    base = base or train_forest(rows, trees=trees, depth=depth, seed=seed)
+    forests = train_folds(rows, folds=folds, seed=seed, trees=trees, depth=depth)
+    return CalibratedForest(base, calibrate(forests, rows if held is None else held, seed=seed, score_digits=score_digits), score_digits=score_digits)
 
 
 def score(model: CalibratedForest, rows: DataFrame) -> DataFrame:
@@ -147,13 +223,8 @@ def score(model: CalibratedForest, rows: DataFrame) -> DataFrame:
     scored = rows.withColumn("_vector", array_to_vector("features") if is_array else F.col("features"))
     totals = [F.lit(0.0)] * k
     for number, (forest, calibrators) in enumerate(model.folds):
-        outputs = {"rawPredictionCol": f"_raw{number}", "probabilityCol": f"_p{number}", "predictionCol": f"_c{number}"}
-        forest = forest.copy().setFeaturesCol("_vector")
-        for setter, column in outputs.items():
-            forest = forest._set(**{setter: column})
-        scored = forest.transform(scored)
-        values = vector_to_array(f"_p{number}")
-        scored = scored.withColumns({f"_s{number}_{i}": F.round(values[i], model.score_digits) for i in range(k)})
+        scored = forest.shares(scored, "_vector", f"_p{number}")
+        scored = scored.withColumns({f"_s{number}_{i}": F.round(F.col(f"_p{number}")[i], model.score_digits) for i in range(k)})
         for i, calibrator in enumerate(calibrators):
             calibrator = calibrator.copy()._set(featuresCol=f"_s{number}_{i}", predictionCol=f"_q{number}_{i}")
             scored = calibrator.transform(scored)
@@ -167,15 +238,14 @@ def score(model: CalibratedForest, rows: DataFrame) -> DataFrame:
 def assess(model: CalibratedForest, requests: DataFrame) -> DataFrame:
     """The forest's answer to every request, complete with contributors, alerts and note."""
     scored = score(model, feature_vector(requests))
-    importances = [float(v) for v in model.base.featureImportances.toArray()]
-    return model_answer(scored, importances)
+    return model_answer(scored, model.base.importances())
 
 
-def feature_importances(model: CalibratedForest, spark: SparkSession) -> DataFrame:
+def feature_importances(base: Forest, spark: SparkSession) -> DataFrame:
     """Importance of every feature in the uncalibrated forest, with its rank."""
-    values = model.base.featureImportances.toArray()
+    values = base.importances()
     order = sorted(range(len(values)), key=lambda i: (-values[i], -i))
-    rows = [(rank + 1, domain.FEATURES[i], float(values[i])) for rank, i in enumerate(order)]
+    rows = [(rank + 1, domain.FEATURES[i], values[i]) for rank, i in enumerate(order)]
     return spark.createDataFrame(rows, "rank int, feature string, importance double")
 
 
@@ -197,7 +267,7 @@ def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str,
         F.map_from_entries(F.collect_list(F.struct(F.concat_ws(">", "actual", "predicted"), "rows"))).alias("m")
     )
     hits = matrix.agg(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("rows")).otherwise(0)).alias("h"))
-    importances = model.base.featureImportances.toArray()
+    importances = model.base.importances()
     body = matrix.agg(F.sum("rows").alias("test_samples")).select(
         F.lit(domain.FOREST_MODEL_NAME).alias("model"),
         F.lit(domain.FOREST_MODEL_VERSION).alias("version"),
@@ -209,7 +279,9 @@ def training_metrics(scored: DataFrame, model: CalibratedForest, *, actual: str,
         report.scalar().alias("classification_report"),
         cells.scalar().alias("confusion_matrix"),
         literals(model.labels).alias("labels_order"),
-        F.create_map(*[c for f, v in zip(domain.FEATURES, importances) for c in (F.lit(f), F.lit(float(v)))]).alias("feature_importances"),
+        F.create_map(*[c for f, v in zip(domain.FEATURES, importances) for c in (F.lit(f), F.lit(v))]).alias("feature_importances"),
+        F.lit(domain.SYNTHETIC_BASIS).alias("synthetic_basis"),
+        F.lit(domain.CLINICAL_READING_HINT).alias("clinical_reading_hint"),
     )
     return body.withColumn("document", document(F.struct(*body.columns)))
 
@@ -242,6 +314,14 @@ def bounded_rows(table: DataFrame, rows: int | None, label: str, seed: int = SEE
     return reduce(DataFrame.unionByName, drawn)
 
 
+def prepare(table: DataFrame, label: str, seed: int = SEED, fit_rows: int | None = FIT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a feature table: the training part, the rows to fit on (at most ``fit_rows``), the test part; stored."""
+    parts = materialize(split_rows(table, label, seed), "parts")
+    part = parts.filter("subset = 'train'")
+    rows = materialize(training_rows(bounded_rows(part, fit_rows, label, seed), label), "training-rows")
+    return part, rows, parts.filter("subset = 'val'")
+
+
 def train_and_report(
     table: DataFrame,
     label: str,
@@ -253,19 +333,18 @@ def train_and_report(
     folds: int = FOLDS,
     fit_rows: int | None = FIT_ROWS,
     score_digits: int = SCORE_DIGITS,
+    prepared: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    base: Forest | None = None,
 ):
     """Split a feature table, train, save and evaluate: the model and its metrics document.
 
     The forests are fitted on at most ``fit_rows`` rows of the training part and calibrated on
-    all of it; the model is judged on the whole rest.
+    all of it; the model is judged on the whole rest. ``prepared`` and ``base`` may be given
+    where the split has been made or the uncalibrated forest grown before.
     """
     started = perf_counter()
-    parts = materialize(split_rows(table, label, seed), "parts")
-    part = parts.filter("subset = 'train'")
-    train = bounded_rows(part, fit_rows, label, seed)
-    test = parts.filter("subset = 'val'")
-    rows = materialize(training_rows(train, label), "training-rows")
-    model = train_calibrated(rows, training_rows(part, label), trees=trees, depth=depth, seed=seed, folds=folds, score_digits=score_digits)
+    part, rows, test = prepared or prepare(table, label, seed, fit_rows)
+    model = train_calibrated(rows, training_rows(part, label), base=base, trees=trees, depth=depth, seed=seed, folds=folds, score_digits=score_digits)
     save(model, table.sparkSession, path)
     scored = score(model, test)
     metrics = training_metrics(scored, model, actual=label, training_rows=part.count(), fitted_rows=rows.count(), seconds=round(perf_counter() - started, 2))
@@ -273,11 +352,11 @@ def train_and_report(
 
 
 def save(model: CalibratedForest, spark: SparkSession, path: str) -> None:
-    model.base.write().overwrite().save(f"{path}/base")
+    jobs = [partial(model.base.save, f"{path}/base")]
     for number, (forest, calibrators) in enumerate(model.folds):
-        forest.write().overwrite().save(f"{path}/fold_{number}/forest")
-        for index, calibrator in enumerate(calibrators):
-            calibrator.write().overwrite().save(f"{path}/fold_{number}/calibrator_{index}")
+        jobs.append(partial(forest.save, f"{path}/fold_{number}"))
+        jobs += [partial(c.write().overwrite().save, f"{path}/fold_{number}/calibrator_{i}") for i, c in enumerate(calibrators)]
+    _side_by_side(spark, jobs)
     pairs = [c for risk, priority in domain.PRIORITY_BY_RISK.items() for c in (F.lit(risk), F.lit(priority))]
     spark.range(1).select(
         F.lit(domain.FOREST_MODEL_NAME).alias("model_name"),
@@ -286,8 +365,9 @@ def save(model: CalibratedForest, spark: SparkSession, path: str) -> None:
         literals(model.labels).alias("risk_labels"),
         F.create_map(*pairs).alias("priority_by_risk"),
         literals(domain.FEATURES).alias("feature_order"),
-        literals([float(v) for v in model.base.featureImportances.toArray()]).alias("feature_importances"),
+        literals(model.base.importances()).alias("feature_importances"),
         F.lit(len(model.folds)).alias("folds"),
+        F.lit(len(model.base.groups)).alias("groups"),
         F.lit(model.score_digits).alias("score_digits"),
     ).write.mode("overwrite").parquet(f"{path}/metadata")
 
@@ -295,14 +375,10 @@ def save(model: CalibratedForest, spark: SparkSession, path: str) -> None:
 def load(spark: SparkSession, path: str) -> CalibratedForest:
     about = spark.read.parquet(f"{path}/metadata").first()
     labels = tuple(about.risk_labels)
-    folds = tuple(
-        (
-            RandomForestClassificationModel.load(f"{path}/fold_{number}/forest"),
-            tuple(IsotonicRegressionModel.load(f"{path}/fold_{number}/calibrator_{i}") for i in range(len(labels))),
-        )
-        for number in range(about.folds)
-    )
-    return CalibratedForest(RandomForestClassificationModel.load(f"{path}/base"), folds, labels, about.score_digits)
+    calibrators = lambda n: tuple(IsotonicRegressionModel.load(f"{path}/fold_{n}/calibrator_{i}") for i in range(len(labels)))
+    fold = lambda n: (load_forest(f"{path}/fold_{n}", about.groups), calibrators(n))
+    base, *folds = _side_by_side(spark, [partial(load_forest, f"{path}/base", about.groups), *[partial(fold, n) for n in range(about.folds)]])
+    return CalibratedForest(base, tuple(folds), labels, about.score_digits)
 
 
 def model_metadata(spark: SparkSession, path: str) -> DataFrame:

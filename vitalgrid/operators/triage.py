@@ -6,7 +6,7 @@ Everything here is row-local, apart from the join in ``assess``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -203,12 +203,13 @@ def feature_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("_reported", arrays.symptom_set_strict(_symptoms())).withColumns({**single, **hot}).drop("_reported")
 
 
-def feature_vector(df: DataFrame) -> DataFrame:
-    """``features``: the model's doubles in their fixed order."""
-    prepared = df.withColumn("_reported", arrays.symptom_set_strict(_symptoms()))
+def feature_vector(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """``features``: the model's doubles in their fixed order; computed only ``where`` it is true, if given."""
+    only = (lambda value: value) if where is None else (lambda value: F.when(where, value))
+    prepared = df.withColumn("_reported", only(arrays.symptom_set_strict(_symptoms())))
     items = [lenient_vital(name, default).cast("float").cast("double") for name, default in domain.MODEL_DEFAULTS.items()]
     items += [F.array_contains("_reported", name).cast("double") for name in domain.SYMPTOMS]
-    return prepared.withColumn("features", F.array(*items)).drop("_reported")
+    return prepared.withColumn("features", only(F.array(*items))).drop("_reported")
 
 
 def model_assessment(scored: DataFrame, labels: Sequence[str] = domain.RISK_LABELS) -> DataFrame:
@@ -254,39 +255,35 @@ def triage_alerts(scored: DataFrame) -> DataFrame:
 
 
 def top_contributors(
-    df: DataFrame, importances: Sequence[float], k: int = 3, features: Sequence[str] = domain.FEATURES
+    df: DataFrame, importances: Sequence[float], k: int = 3, features: Sequence[str] = domain.FEATURES, where: Column | None = None
 ) -> DataFrame:
     """``contributors``: the ``k`` most important features that are not zero in the row.
 
     Where none of them carries weight the plain importances rank. Ties go to the later
-    feature.
+    feature. Rows on which ``where`` is not true get NULL, and nothing is computed for them.
     """
+    only = (lambda value: value) if where is None else (lambda value: F.when(where, value))
+    nothing = F.array().cast("array<struct<feature:string,importance:double,value:double>>")
     if not importances:
-        nothing = F.array().cast("array<struct<feature:string,importance:double,value:double>>")
-        return df.withColumn("contributors", nothing)
-    # importances are known when the plan is made, so they are rounded here
-    weights = literals([float(w) for w in importances])
-    shares = literals([round(float(w), 4) for w in importances])
-    names = literals(features)
-
-    def item(value: Column, position: Column, score: Column) -> Column:
-        return F.struct(score.alias("score"), position.alias("position"), value.alias("value"))
-
-    masked = F.transform(
-        "features", lambda v, i: item(v, i, F.when(v != 0, nth(weights, i + 1)).otherwise(0.0))
-    )
-    mass = F.aggregate("_items", F.lit(0.0), lambda acc, x: acc + x["score"])
-    plain = F.transform("_items", lambda x: item(x["value"], x["position"], nth(weights, x["position"] + 1)))
-    ranked = F.slice(F.sort_array(F.when(mass <= 0, plain).otherwise(F.col("_items")), asc=False), 1, k)
-    contributors = F.transform(
-        ranked,
-        lambda x: F.struct(
-            nth(names, x["position"] + 1).alias("feature"),
-            nth(shares, x["position"] + 1).alias("importance"),
-            round_exact(x["value"], 2).alias("value"),
-        ),
-    )
-    return df.withColumn("_items", masked).withColumn("contributors", contributors).drop("_items")
+        return df.withColumn("contributors", only(nothing))
+    # importances are known when the plan is made, and so is the order of the features
+    order = sorted(range(len(features)), key=lambda i: (-importances[i], -i))
+
+    def item(place: int) -> Column:
+        return F.struct(F.lit(features[place]).alias("feature"), F.lit(round(float(importances[place]), 4)).alias("importance"), F.get("features", F.lit(place)).alias("value"))
+
+    def those(places: Sequence[int], test: Callable[[Column], Column]) -> Column:
+        """Items of the features whose value passes, in the order of ``places``."""
+        return F.array_compact(F.array(*[F.when(test(F.get("features", F.lit(i))), item(i)) for i in places]))
+
+    weighty = [i for i in order if importances[i] > 0]
+    set_ = those(weighty, lambda v: v != 0) if weighty else nothing
+    light = sorted(set(range(len(features))) - set(weighty), reverse=True)
+    rest = F.concat(*[those([i], (lambda v: F.lit(True)) if i in light else (lambda v: v == 0)) for i in range(len(features) - 1, -1, -1)])
+    plain = F.array(*[item(i) for i in order[:k]])
+    ranked = F.when(F.size("_set") >= k, F.slice("_set", 1, k)).when(F.size("_set") == 0, plain).otherwise(F.slice(F.concat("_set", rest), 1, k))
+    rounded = F.transform("_ranked", lambda x: F.struct(x["feature"].alias("feature"), x["importance"].alias("importance"), round_exact(x["value"], 2).alias("value")))
+    return df.withColumn("_set", only(set_)).withColumn("_ranked", only(ranked)).withColumn("contributors", only(rounded)).drop("_set", "_ranked")
 
 
 def model_answer(scored: DataFrame, importances: Sequence[float] = ()) -> DataFrame:
@@ -323,9 +320,8 @@ def assess(
         {name: F.when(by_model, F.col(name)).otherwise(F.col(f"_rules_{name}")) for name in rules}
     )
     about = {name: F.lit(value) for name, value in _ABOUT_MODEL.items() if name != "model_name"}
-    ranked = top_contributors(feature_vector(triage_alerts(merged)), importances).drop("features")
-    answered = {**about, "contributors": F.col("contributors")}
-    complete = ranked.withColumns({name: F.when(by_model, value) for name, value in answered.items()})
+    ranked = top_contributors(feature_vector(triage_alerts(merged), by_model), importances, where=by_model).drop("features")
+    complete = ranked.withColumns({name: F.when(by_model, value) for name, value in about.items()})
     return complete.drop("_key", *[f"_rules_{name}" for name in rules])
 
 

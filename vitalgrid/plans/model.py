@@ -1,9 +1,13 @@
 """Queries that train and apply the triage forest on the whole table.
 
-The forest of a table folder is trained once per application and stored in the shared
-folder; the queries load it from there, so the first of them pays for the others. It has
-the size of ``operators.forest``, fitted on at most ``forest.FIT_ROWS`` rows and calibrated on
-the whole training part; all rows are scored.
+What they share, the split, the uncalibrated forest, the calibrated one and its answers, is made
+once per application and stored in the shared folder; each query makes only what it needs. The
+forest has the size of ``operators.forest``, fitted on at most ``forest.FIT_ROWS`` rows and
+calibrated on the whole training part; all rows are scored.
+
+What a forest answers has no SQL form. A query named in the survey returns the answers; the
+query of the same name with ``_checks`` says in columns what must follow from them, and that
+is compared with DuckDB.
 """
 
 from __future__ import annotations
@@ -16,12 +20,20 @@ from vitalgrid.operators import forest, triage
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.triage import requests
 from vitalgrid.plans.views import quoted, text_list
-from vitalgrid.session import scratch_path
+from vitalgrid.session import materialize, scratch_path, spread
 from vitalgrid.sources import clinical, registered
 from vitalgrid.streaming import flows
 
 NOISE_RATE, SEED = 0.06, 42
-_trained: dict[tuple, tuple[str, str]] = {}
+_kept: dict[tuple, object] = {}
+
+
+def once(spark, d, name, make):
+    """``make()``, once per application, table folder and size of the model."""
+    key = (spark.sparkContext.applicationId, d, name, forest.TREES, forest.DEPTH, forest.FOLDS, forest.FIT_ROWS, NOISE_RATE, SEED)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 def labelled(spark, d):
@@ -30,38 +42,47 @@ def labelled(spark, d):
     return triage.label_noise(rows, "severity_label", NOISE_RATE, SEED, "triage_id")
 
 
-def trained(spark, d) -> tuple[str, str]:
-    """Paths of the stored model and of its stored metrics document."""
-    key = (spark.sparkContext.applicationId, d, forest.TREES, forest.DEPTH, forest.FOLDS, forest.FIT_ROWS, NOISE_RATE, SEED)
-    if key not in _trained:
+def table(spark, d):
+    return once(spark, d, "table", lambda: forest.feature_table(labelled(spark, d), "severity_label"))
+
+
+def prepared(spark, d):
+    """Training part, rows to fit on, test part."""
+    return once(spark, d, "prepared", lambda: forest.prepare(table(spark, d), "severity_label", SEED))
+
+
+def base(spark, d) -> forest.Forest:
+    """The uncalibrated forest, stored and read back."""
+
+    def make():
+        path = scratch_path(spark, "base-forest")
+        grown = forest.train_forest(prepared(spark, d)[1], seed=SEED)
+        grown.save(path)
+        return forest.load_forest(path, len(grown.groups))
+
+    return once(spark, d, "base", make)
+
+
+def trained(spark, d) -> tuple[str, str, forest.CalibratedForest]:
+    """Path of the stored model, path of its stored metrics document, and the model."""
+
+    def make():
         model_path, metrics_path = scratch_path(spark, "model"), scratch_path(spark, "model-metrics")
-        table = forest.feature_table(labelled(spark, d), "severity_label")
-        _, metrics = forest.train_and_report(table, "severity_label", model_path, seed=SEED)
+        model, metrics = forest.train_and_report(table(spark, d), "severity_label", model_path, seed=SEED, prepared=prepared(spark, d), base=base(spark, d))
         metrics.write.parquet(metrics_path)
-        _trained[key] = (model_path, metrics_path)
-    return _trained[key]
-
+        return model_path, metrics_path, model
 
-_loaded: dict[str, forest.CalibratedForest] = {}
-_scored: dict[str, str] = {}
+    return once(spark, d, "trained", make)
 
 
 def loaded(spark, d) -> forest.CalibratedForest:
-    """The stored model, read once per application."""
-    path = trained(spark, d)[0]
-    if path not in _loaded:
-        _loaded[path] = forest.load(spark, path)
-    return _loaded[path]
+    return trained(spark, d)[2]
 
 
 def scored(spark, d):
     """The forest's answers to all requests, stored once for the queries that look at them."""
-    model_path = trained(spark, d)[0]
-    if model_path not in _scored:
-        path = scratch_path(spark, "scored")
-        forest.assess(loaded(spark, d), requests(spark, d)).write.parquet(path)
-        _scored[model_path] = path
-    return spark.read.parquet(_scored[model_path])
+    answers = lambda: forest.assess(loaded(spark, d), spread(requests(spark, d), "triage_id"))
+    return once(spark, d, "scored", lambda: materialize(answers(), "scored"))
 
 
 _CUT = f"{int(NOISE_RATE * 16**8):08x}"
@@ -73,26 +94,50 @@ _NOISY = f"""
 _TEST_ROWS = f"SELECT label, count(*) AS n, CAST(round_even(count(*) * 0.2e0, 0) AS BIGINT) AS test FROM ({_NOISY}) m GROUP BY label"
 
 
-@query("train_triage_forest", f"SELECT label, test AS rows, test AS predicted, TRUE AS is_full_size FROM ({_TEST_ROWS}) t")
+def _judged_by_base(spark, d):
+    """The held-out rows with the class index that the uncalibrated forest gives them."""
+    test = prepared(spark, d)[2].withColumn("_vector", array_to_vector("features"))
+    shares = materialize(base(spark, d).shares(test, "_vector", "probabilities").select("severity_label", "probabilities"), "base-shares")
+    return shares.withColumn("place", F.array_position("probabilities", F.array_max("probabilities")).cast("int"))
+
+
+@query("train_triage_forest")
 def train_triage_forest(spark, d):
+    """Confusion of the uncalibrated forest on the held-out rows, with its size."""
+    judged = forest.with_prediction(_judged_by_base(spark, d))
+    matrix = judged.groupBy(F.col("severity_label").alias("actual"), "predicted").agg(F.count(F.lit(1)).alias("rows"))
+    return matrix.select("*", F.lit(base(spark, d).trees).alias("trees"), F.lit(base(spark, d).depth).alias("deepest"))
+
+
+@query("train_triage_forest_checks", f"SELECT label, test AS rows, test AS predicted, TRUE AS is_full_size FROM ({_TEST_ROWS}) t")
+def train_triage_forest_checks(spark, d):
     """Held-out rows by label, how many of them the uncalibrated forest gives a label, and the forest's size."""
-    base = loaded(spark, d).base
-    table = forest.feature_table(labelled(spark, d), "severity_label")
-    held_out = forest.split_rows(table, "severity_label", SEED).where("subset = 'val'")
-    predicted = base.transform(held_out.withColumn("features", array_to_vector("features")))
-    full = base.getNumTrees == 400 and max(t.depth for t in base.trees) <= 12 and base.getOrDefault("maxDepth") == 12
-    return predicted.groupBy(F.col("severity_label").alias("label")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction").isin(0.0, 1.0, 2.0, 3.0)).alias("predicted"), F.lit(full).alias("is_full_size")
+    full = base(spark, d).trees == 400 and base(spark, d).depth <= 12 and all(g.getOrDefault("maxDepth") == 12 for g in base(spark, d).groups)
+    return _judged_by_base(spark, d).groupBy(F.col("severity_label").alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("place").between(1, 4)).alias("predicted"), F.lit(full).alias("is_full_size")
     )
 
 
-@query("calibrate_isotonic", f"""
+@query("calibrate_isotonic")
+def calibrate_isotonic(spark, d):
+    """The calibration curves: the fitted share at each corner, by fold and risk label."""
+    model = loaded(spark, d)
+    corners = [
+        (fold, risk, float(x), float(y))
+        for fold, (_, calibrators) in enumerate(model.folds)
+        for risk, curve in zip(model.labels, calibrators)
+        for x, y in zip(curve.boundaries, curve.predictions)
+    ]  # at most 10 001 for each fold and label, whatever the table's size
+    return spark.createDataFrame(corners, "fold int, risk_level string, score double, fitted double")
+
+
+@query("calibrate_isotonic_checks", f"""
     SELECT * FROM (WITH p AS (SELECT r.score / 100e0 AS x, count(*) AS w, count(*) FILTER (WHERE m.label = 'critical') AS hits FROM v_rules r JOIN ({_NOISY}) m USING (triage_id) GROUP BY 1),
     f AS (SELECT a.x AS low, b.x AS high, (SELECT sum(hits) FROM p WHERE p.x BETWEEN a.x AND b.x) / (SELECT sum(w) FROM p WHERE p.x BETWEEN a.x AND b.x) AS mean
           FROM p a JOIN p b ON a.x <= b.x),
     least AS (SELECT p.x, f.low, min(f.mean) AS mean FROM p JOIN f ON f.low <= p.x AND p.x <= f.high GROUP BY 1, 2)
     SELECT x AS score, w AS rows, round(max(mean), 9) AS fitted, TRUE AS curves_rise FROM least JOIN p USING (x) GROUP BY x, w) c""")
-def calibrate_isotonic(spark, d):
+def calibrate_isotonic_checks(spark, d):
     """Isotonic share of critical labels over the rules' score; and whether the stored curves of the forest rise."""
     truth = labelled(spark, d).select("triage_id", "severity_label")
     both = triage.rules_risk(requests(spark, d)).select("triage_id", "score").join(truth, "triage_id")
@@ -125,8 +170,18 @@ def _answer_checks() -> dict:
     }
 
 
-@query("score_triage_model", "SELECT triage_id, " + ", ".join(f"TRUE AS {c}" for c in _ANSWER_CHECKS) + " FROM v_triage")
+@query("score_triage_model")
 def score_triage_model(spark, d):
+    """The trained forest's answer to every request."""
+    return scored(spark, d).select(
+        "triage_id", "risk_level", "recommended_priority", "score", "confidence", *[F.col("probability_map")[risk].alias(f"p_{risk}") for risk in domain.RISK_LABELS],
+        F.array_join("alerts", " | ").alias("alerts"), F.array_join(F.transform("contributors", lambda c: F.concat_ws("=", c["feature"], c["value"].cast("string"))), ",").alias("contributors"),
+        "model_name", "model_version", "model_family", "clinical_note",
+    )
+
+
+@query("score_triage_model_checks", "SELECT triage_id, " + ", ".join(f"TRUE AS {c}" for c in _ANSWER_CHECKS) + " FROM v_triage")
+def score_triage_model_checks(spark, d):
     """Every request answered by the trained forest; each answer follows from its probabilities."""
     return scored(spark, d).select("triage_id", *[check.alias(name) for name, check in _answer_checks().items()])
 
@@ -156,20 +211,36 @@ def stream_triage_model(spark, d):
     return rows.groupBy("triage_id").agg(F.bool_and(F.col("left") == 0).alias("equals_batch"))
 
 
-@query("feature_importances", f"""
-    SELECT unnest({text_list(domain.FEATURES)}) AS feature, 16 AS ranks, 136 AS rank_sum, 1e0 AS total, count(*) > 0 AS has_requests FROM v_triage""")
+@query("feature_importances")
 def feature_importances(spark, d):
+    """Importance and rank of every feature in the uncalibrated forest."""
+    return forest.feature_importances(base(spark, d), spark)
+
+
+@query("feature_importances_checks", f"""
+    SELECT unnest({text_list(domain.FEATURES)}) AS feature, 16 AS ranks, 136 AS rank_sum, 1e0 AS total, count(*) > 0 AS has_requests FROM v_triage""")
+def feature_importances_checks(spark, d):
     """Each feature, with what must hold of all ranks and importances together."""
-    found = forest.feature_importances(loaded(spark, d), spark)
+    found = forest.feature_importances(base(spark, d), spark)
     all_of = found.agg(F.countDistinct("rank").cast("int").alias("ranks"), F.sum("rank").cast("int").alias("rank_sum"), F.round(F.sum("importance"), 6).alias("total"))
     return found.select("feature").join(F.broadcast(all_of), F.lit(True)).withColumn("has_requests", F.lit(not requests(spark, d).isEmpty()))
 
 
-@query("training_metrics", f"""
+@query("training_metrics")
+def training_metrics(spark, d):
+    """The metrics document of the training, and the numbers in it."""
+    stored = spark.read.parquet(trained(spark, d)[1])
+    return stored.select(
+        "training_samples", "fitted_samples", "test_samples", "accuracy", "synthetic_basis", "clinical_reading_hint", "document",
+        *[F.col("classification_report")[risk][measure].alias(f"{risk}_{measure}") for risk in domain.RISK_LABELS for measure in ("precision", "recall", "f1_score", "support")],
+    )
+
+
+@query("training_metrics_checks", f"""
     SELECT 'hospital-triage-rf-calibrated' AS model, '1.0.0' AS version, CAST(sum(n) - sum(test) AS BIGINT) AS training_samples,
            CAST(least({forest.FIT_ROWS}, sum(n) - sum(test)) AS BIGINT) AS fitted_samples,
            CAST(sum(test) AS BIGINT) AS test_samples, TRUE AS beats_majority, TRUE AS matrix_fits FROM ({_TEST_ROWS}) t""")
-def training_metrics(spark, d):
+def training_metrics_checks(spark, d):
     """Sizes, and whether the judgement on the held-out rows holds together."""
     stored = spark.read.parquet(trained(spark, d)[1])
     matrix = F.aggregate(F.map_values("confusion_matrix"), F.lit(0).cast("long"), lambda a, x: a + x)
