@@ -43,6 +43,7 @@ def pre_token_pattern(path: str) -> re.Pattern:
     """
     model = load(path)
     leader: dict[str, str] = {}
+    doubled: set[str] = set()  # characters that merge with their like
 
     def find(c: str) -> str:
         while leader.setdefault(c, c) != c:
@@ -59,13 +60,15 @@ def pre_token_pattern(path: str) -> re.Pattern:
             find(body[:1] or " ")  # merges with the space in front of it, if with nothing else
         for a, b in zip(body, body[1:]):
             leader[find(a)] = find(b)
+            doubled.update(a if a == b else "")
     classes = defaultdict(list)
     for c in list(leader):
         classes[find(c)].append(c)
     classes.pop(" ", None)
     groups = sorted(("".join(sorted(g)) for g in classes.values()), key=len, reverse=True)
-    single = "".join(g for g in groups if len(g) == 1)
-    runs = "|".join([f"[{re.escape(g)}]+" for g in groups if len(g) > 1] + [f"[{re.escape(single)}]"] * bool(single))
+    runs = [g for g in groups if len(g) > 1 or g in doubled]
+    single = "".join(g for g in groups if len(g) == 1 and g not in doubled)
+    runs = "|".join([f"[{re.escape(g)}]+" for g in runs] + [f"[{re.escape(single)}]"] * bool(single))
     classed = re.escape("".join(groups) + " ")
     return re.compile(f" *(?:{runs})| +|[^{classed}]+")
 
