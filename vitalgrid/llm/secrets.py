@@ -9,11 +9,13 @@ findings back to all of them. Built-in functions only.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalgrid.functions.arrays import bind
 from vitalgrid.session import scratch_path
 
 
@@ -54,20 +56,52 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+#: Items of a scan that are gathered in one array, which is copied for each of them.
+CHUNK = 512
+
+
+def chunks(items: Column) -> Column:
+    """``items`` as arrays of CHUNK items, and the rest."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return bind(items, lambda x: F.transform(starts, lambda start: F.slice(x, start, F.lit(CHUNK))))
+
+
+def scan_items(items: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Outputs, of type ``kind``, of ``step(at, item) -> (at, output)`` over the items; NULL outputs are left out.
+
+    Appending copies an array. Outputs are gathered by chunk, so that the copies stay short.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(done: Column, x: Column) -> Column:
+        at, out = step(done["at"], x)
+        return F.struct(at.alias("at"), bind(out, lambda o: F.when(o.isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(o)))).alias("out"))
+
+    def many(done: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(done["at"].alias("at"), none.alias("out")), one)
+        return bind(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(done["out"], F.array(i["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.flatten(F.aggregate(chunks(items), start, many)["out"])
+
+
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
 def _spans_of(text: Column, number: int, rule: Rule) -> Column:
     """Places of the leftmost non-overlapping matches, in code points: the lengths of what
     stands between the matches and of the matches themselves, summed up."""
     hits, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1)) if rule.value else hits
-    steps = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
+    gaps = bind(hits, lambda h: F.slice(between, 1, F.size(h)))
+    steps = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= rule.value, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+        return end, F.when(F.length(x["value"]) >= rule.value, F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), step)["spans"]
+    return scan_items(steps, step, SPAN)
 
 
 def spans(text: Column, lowered: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -137,14 +171,26 @@ def describe(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def masked(text: Column, found: Column, mask: str = MASK) -> Column:
-    """The text with every span, or run of overlapping spans, replaced."""
-    def step(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        is_new = (s["start"] >= done["at"]) & ((s["start"] > done["at"]) | (done["at"] == 0))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], F.when(is_new, F.concat(before, F.lit(mask))).otherwise(F.lit(""))).alias("out"))
-
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    """The text with every span, or run of overlapping spans, replaced.
+
+    The text is cut once for every chunk of spans, and each cut at the spans of its chunk:
+    looking for a place in a text begins at its first character.
+    """
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        is_new = (s["start"] > at) | ((s["start"] == at) & (at == 0))
+        return F.greatest(at, s["end"]), F.when(is_new, F.struct(at.alias("a"), s["start"].alias("b")))
+
+    def cut(gaps: Column, whole: Column) -> Column:
+        """The texts of a chunk of gaps, with a mask behind each."""
+        base, last = F.get(gaps, F.lit(0))["a"], F.element_at(gaps, -1)["b"]
+        return bind(base, lambda low: bind(F.substring(whole, low + 1, last - low), lambda part: F.array_join(
+            F.transform(gaps, lambda g: F.concat(F.substring(part, g["a"] - low + 1, g["b"] - g["a"]), F.lit(mask))), "")))
+
+    gaps = scan_items(found, step, "struct<a:int,b:int>")
+    end = F.array_max(F.transform(found, lambda s: s["end"]))
+    rest = bind(end, lambda e: F.substring(text, e + 1, F.length(text)))
+    return F.concat(bind(text, lambda whole: F.array_join(F.transform(chunks(gaps), lambda c: cut(c, whole)), "")), rest)
 
 
 def mask_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
