@@ -1,9 +1,11 @@
 """Benchmark decontamination: windows of test words found in training texts.
 
-The windows of the test items form a hash set, which is broadcast in slices of bounded size.
-Every text is cut into words once; each of its windows is hashed and looked up, a hit is
-verified word by word against the test window, and what leaves the scan is one row per
-document and one per verified hit. Built-in functions only.
+The windows of the test items form a hash set, which is broadcast while it is small. A larger
+one is broadcast as marks: each hash sets a bit in a table of bounded size, and windows of
+texts whose bit is set are joined with the test windows by hash. Either way texts are read and
+cut into words once; each window is hashed and looked up, a hit is verified word by word
+against the test window, and what leaves the scan is one row per document and one per
+verified hit. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalgrid.functions.arrays import bind
 from vitalgrid.llm.common import ascii_lower
 from vitalgrid.session import materialize
 
 WINDOW = 10
-#: Largest slice of the test windows that is broadcast, in rows and in bytes of text.
-SLICE_ROWS, SLICE_BYTES = 200_000, 24 << 20
+#: Largest set of test windows that is broadcast whole, in rows and in bytes of text.
+WHOLE_ROWS, WHOLE_BYTES = 200_000, 24 << 20
+#: Bits of a hash that choose a row of the marks, at most 2**21 rows of 64 marks each.
+MARK_BITS = 21
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing, and words as they stand in the text.
 BETWEEN_RAW_WORDS, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -53,7 +58,6 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     of a window, which starts at word ``at`` (from 1). ``windows``: (window, length, words).
     """
     size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length(F.array_join("words", " "))), F.lit(0)), F.collect_set("length")).first()
-    slices = max(1, -(-size[0] // SLICE_ROWS), -(-size[1] // SLICE_BYTES))
     lengths = sorted(size[2]) or [WINDOW]  # at most WINDOW different ones
     text = F.coalesce(docs[text_col], F.lit(""))
     cut = docs.select(docs[id_col].alias("doc_id"), *row_key(text), words_of(text).alias("words"))
@@ -66,21 +70,40 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     whole = F.col("at") + F.col("length") - 1 <= F.size("words")
     here = F.slice("words", F.greatest("at", F.lit(1)), F.col("length"))
     looked_up = placed.withColumn("code", F.when(F.col("at") == 0, F.lit(0).cast("long")).when(whole, F.xxhash64(here)))
-    none = docs.sparkSession.sql("select cast(null as string) as window, 0 as window_length, cast(array() as array<string>) as window_words, 0L as window_code")
-    code = F.xxhash64("words")
     # stored: a filter on a computed code would be carried over to every window of every text
-    coded = materialize(windows.select("window", F.col("length").alias("window_length"), F.col("words").alias("window_words"), code.alias("window_code"), F.pmod(code, F.lit(slices)).alias("part")), "window-codes")
-    found = None
-    for number in range(slices):
-        some = coded.where(F.col("part") == number).drop("part")
-        known = F.broadcast(some.unionByName(none) if number == 0 else some)
-        is_row = (F.col("at") == 0) & (F.col("window_length") == 0)
-        is_hit = (F.col("at") > 0) & (F.col("window_length") == F.col("length")) & (here == F.col("window_words"))
-        hits = looked_up.join(known, (F.col("code") == F.col("window_code")) & (is_row | is_hit)).select(
-            *KEY, F.size("words").cast("long").alias("n_words"), "at", F.col("window_length").alias("length"), "window"
-        )
-        found = hits if found is None else found.unionByName(hits)
-    return materialize(found, "window-hits")
+    coded = materialize(windows.select("window", F.col("length").alias("window_length"), F.col("words").alias("window_words"), F.xxhash64("words").alias("window_code")), "window-codes")
+    if size[0] <= WHOLE_ROWS and size[1] <= WHOLE_BYTES:
+        return _hits_in_set(looked_up, here, coded)
+    return _hits_by_marks(looked_up, here, coded)
+
+
+def _hits_in_set(looked_up: DataFrame, here: Column, coded: DataFrame) -> DataFrame:
+    """Hits among all windows, the test windows broadcast."""
+    none = looked_up.sparkSession.sql("select cast(null as string) as window, 0 as window_length, cast(array() as array<string>) as window_words, 0L as window_code")
+    is_row = (F.col("at") == 0) & (F.col("window_length") == 0)
+    is_hit = (F.col("at") > 0) & (F.col("window_length") == F.col("length")) & (here == F.col("window_words"))
+    hits = looked_up.join(F.broadcast(coded.unionByName(none)), (F.col("code") == F.col("window_code")) & (is_row | is_hit))
+    return materialize(hits.select(*KEY, F.size("words").cast("long").alias("n_words"), "at", F.col("window_length").alias("length"), "window"), "window-hits")
+
+
+def _hits_by_marks(looked_up: DataFrame, here: Column, coded: DataFrame) -> DataFrame:
+    """The same for any number of test windows: marks of their hashes are broadcast, and what has
+    its mark set meets the test windows in a shuffled join, whose frequent windows adaptive
+    execution divides."""
+    slot = lambda code: F.shiftrightunsigned(code, 64 - MARK_BITS)
+    bit = lambda code: F.expr(f"shiftleft(1L, cast({code} & 63 as int))")
+    marks = materialize(coded.groupBy(slot(F.col("window_code")).alias("slot")).agg(F.bit_or(bit("window_code")).alias("marks")), "window-marks")
+    rows = looked_up.sparkSession.sql("select -1L as slot, -1L as marks")  # for the row of each document
+    known = F.broadcast(marks.unionByName(rows))
+    at_slot = F.when(F.col("at") == 0, F.lit(-1).cast("long")).otherwise(slot(F.col("code")))
+    marked = looked_up.join(known, (at_slot == F.col("slot")) & (bit("code").bitwiseAND(F.col("marks")) != 0))
+    words = F.when(F.col("at") > 0, here)
+    found = materialize(marked.select(*KEY, F.size("words").cast("long").alias("n_words"), "at", "length", "code", words.alias("here")), "marked-windows")
+    same = (F.col("code") == F.col("window_code")) & (F.col("length") == F.col("window_length")) & (F.col("here") == F.col("window_words"))
+    columns = (*KEY, "n_words", "at", "length", "window")
+    hits = found.where("at > 0").join(coded, same).select(*columns)
+    of_rows = found.where("at = 0").withColumns({"length": F.lit(0), "window": F.lit(None).cast("string")}).select(*columns)
+    return materialize(of_rows.unionByName(hits), "window-hits")
 
 
 def named_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -116,19 +139,10 @@ def without_spans(text: Column, spans: Column) -> Column:
     """The text without the words of ``spans`` and what stands behind each of them."""
     words = F.array_remove(F.split(text, BETWEEN_RAW_WORDS), "")
     between = F.split(text, RAW_WORD, -1)
-    joined = F.aggregate(  # overlapping and adjoining spans become one
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["at"].alias("a"), (s["at"] + s["length"]).alias("b")))),
-        F.array().cast("array<struct<a:int,b:int>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["b"] >= s["a"]),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(done, F.lit(-1))["b"], s["b"]).alias("b")))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    stays = F.filter(
-        F.transform(F.arrays_zip(words.alias("word"), F.slice(between, 2, F.greatest(F.size(words), F.lit(1))).alias("gap")), lambda x, i: F.struct(x["word"].alias("word"), x["gap"].alias("gap"), (i + 1).alias("at"))),
-        lambda x: ~F.exists(joined, lambda s: (x["at"] >= s["a"]) & (x["at"] < s["b"])),
-    )
-    return F.concat(F.element_at(between, 1), F.array_join(F.transform(stays, lambda x: F.concat(x["word"], x["gap"])), ""))
+    inside = F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
+    stay = F.array_except(F.sequence(F.lit(1), F.size(words)), inside)  # in order
+    kept = bind(words, lambda w: bind(between, lambda b: F.concat(F.get(b, F.lit(0)), F.array_join(F.transform(stay, lambda i: F.concat(F.get(w, i - 1), F.get(b, i))), ""))))
+    return kept
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
