@@ -84,20 +84,19 @@ class Tokenizers:
         piece = self.pieces.id_to_piece(number)
         return bytes([int(piece[3:-1], 16)]) if self.pieces.is_byte(number) else piece.replace(MARK, " ").encode()
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
-        """Ids of space and text."""
-        rare = [n for n, t in enumerate(texts) if not COMMON.fullmatch(t)]
-        encoded = [[] if n in set(rare) else self.fast.encode_ordinary(" " + t) for n, t in enumerate(texts)] if rare else [self.fast.encode_ordinary(" " + t) for t in texts]
-        for n, found in zip(rare, self.full.encode_batch([" " + texts[n] for n in rare], add_special_tokens=False) if rare else []):
-            encoded[n] = found.ids
-        return encoded
-
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Both sides' ids of each text; none where a side's bytes are not those of space and text, or the text is empty."""
-        for text, a, b in zip(texts, self.encode_a(texts), self.pieces.encode(texts, out_type=int, num_threads=1)):
+        """Both sides' ids of each text: of space and text, and of the text. None where a side's
+        bytes are not those of space and text, or the text is empty."""
+        none = np.zeros(0, np.int64)
+        for text, b in zip(texts, self.pieces.encode(texts, out_type=int, num_threads=1)):
             whole = b" " + text.encode()
-            same = text and b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-            yield (np.array(a, np.int64), np.array(b, np.int64)) if same else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if not text or b"".join([self.bytes_b[i] for i in b]) != whole:
+                yield none, none
+            elif COMMON.fullmatch(text):  # the ranks give all bytes back
+                yield self.fast.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64), np.array(b, np.int64)
+            else:
+                a = self.full.encode(" " + text, add_special_tokens=False).ids
+                yield (np.array(a, np.int64), np.array(b, np.int64)) if b"".join([self.bytes_a[i] for i in a]) == whole else (none, none)
 
 
 @lru_cache
@@ -237,7 +236,8 @@ class _Block:
     def add(self, doc_id: pa.Scalar, a: np.ndarray, b: np.ndarray, both: Tokenizers, width: int) -> None:
         found = groups_of(a, b, both)
         digest = hashlib.sha256(group_text(a, b, found, both)).hexdigest() if len(a) else ""
-        pairs, counts = np.unique(found.links_a * width + found.links_b, return_counts=True)
+        kind = np.int32 if len(both.bytes_a) * width < 2**31 else np.int64  # half the width sorts faster
+        pairs, counts = np.unique((found.links_a * width + found.links_b).astype(kind), return_counts=True)
         self.ids.append(doc_id)
         for name, value in zip(self.columns, (len(a), len(b), len(found.starts_a), len(found.links_a), digest, len(pairs))):
             self.columns[name].append(value)
@@ -250,7 +250,7 @@ class _Block:
         steps = np.diff(places, prepend=0)
         first = (np.cumsum(sizes) - sizes)[sizes > 0]  # places rise within a document and start anew with the next
         steps[first] = places[first]
-        sums = np.bincount(places, counts, len(pairs)).astype(np.int64)
+        pairs, sums = pairs.astype(np.int64), np.bincount(places, counts, len(pairs)).astype(np.int64)
         of_block = {"doc_id": [self.ids], "vectors": [pack(steps, counts)]} | {name: [values] for name, values in self.columns.items()}
         yield self._batch(schema, 1, block=[block], **of_block)
         for start in range(0, len(pairs), 100_000):
