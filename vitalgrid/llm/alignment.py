@@ -217,7 +217,11 @@ def alignments(docs: DataFrame, paths: Paths | None = None, id_col: str = "doc_i
         both = load(paths)
         for batch in batches:
             for ids, texts in _chunks(batch):
-                found = [[{"a": x, "b": y} for x, y in groups_of(a, b, both)] if a else [] for a, b in both.encode(texts)]
+                found = []
+                for a, b in both.encode(texts):
+                    cut = groups_of(a, b, both)
+                    sides = zip(np.split(a, cut.starts_a[1:]), np.split(b, cut.starts_b[1:])) if len(a) else ()
+                    found.append([{"a": x, "b": y} for x, y in sides])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(found, pa.list_(group))], ["doc_id", "groups"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("groups array<struct<a:array<int>,b:array<int>>>")]))
