@@ -89,3 +89,17 @@ def test_mean_and_spread(spark):
 def test_nth_is_null_for_null_positions(spark):
     df = spark.createDataFrame([(1,), (None,), (9,)], "i int")
     assert [r.x for r in df.select(arrays.nth(arrays.literals(["a", "b"]), F.col("i")).alias("x")).collect()] == ["a", None, None]
+
+
+def test_iso_time_is_in_utc_whatever_the_session(spark):
+    """In another zone too, in the hour that its clocks repeat, and for times without zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    instants = {0: "1970-01-01T00:00:00+00:00", 1_793_496_600_500_000: "2026-11-01T05:30:00.500000+00:00", 1_793_500_200_000_001: "2026-11-01T06:30:00.000001+00:00"}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        rows = spark.createDataFrame([(m,) for m in instants], "m long").select("m", records.iso_time(F.timestamp_micros("m")).alias("iso"))
+        assert {r.m: r.iso for r in rows.collect()} == instants
+        wall = spark.range(1).select(records.iso_time(F.lit("2026-03-08 02:30:00.25").cast("timestamp_ntz")).alias("iso"))  # a time those clocks skip
+        assert wall.first().iso == "2026-03-08T02:30:00.250000+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -3,11 +3,15 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vitalgrid import domain
-from vitalgrid.operators import ingest, quality
-from vitalgrid.sources import readers, tables
+from vitalgrid.operators import ingest, quality, triage
+from vitalgrid.plans import radiology as radiology_plans
+from vitalgrid.plans import triage as triage_plans
+from vitalgrid.schemas import STUDY_BATCH
+from vitalgrid.sources import readers, registered, tables
 from vitalgrid.streaming import flows
 
 ROWS = [
@@ -179,3 +183,41 @@ def test_stream_keeps_first_arrivals(spark, tmp_path):
     whole = {r.study_id: r.is_accepted for r in quality.assess_batch(batch(spark, [*ROWS, ("Y1", "5", "F", "uploads/h1.png", "Sana"), ("Y2", "5", "F", "uploads/new.png", "Sana")])).collect()}
     assert settled == {"accepted": {i for i, good in whole.items() if good}, "rejected": {i for i, good in whole.items() if not good}}
     assert "X1" in settled["rejected"]
+
+
+def test_open_counts_read_two_folders_however_many_batches(spark, tmp_path):
+    """Nine micro-batches of openings, repeats and resolutions leave two folders of totals."""
+    source, totals = tmp_path / "log", tmp_path / "totals"
+    expected = {}
+    for n in range(9):
+        severity = "high" if n % 2 else "medium"
+        rows = [(f"e{n}", severity, False), (f"e{n}", severity, False)] + ([(f"e{n - 2}", severity, True)] * 2 if n > 4 else [])
+        expected[severity] = expected.get(severity, 0) + 1 - (n > 4)
+        spark.createDataFrame(rows, "event_id string, severity string, resolved boolean").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("event_id string, severity string, resolved boolean").option("maxFilesPerTrigger", 1).parquet(str(source))
+    flows.store_open_counts(stream, str(totals), str(tmp_path / "progress")).awaitTermination()
+    assert {r.severity: r.events for r in flows.open_counts(spark, str(totals)).collect()} == expected
+    assert sorted(p.name for p in totals.iterdir()) == ["slot=0", "slot=1"]
+
+
+def test_a_micro_batch_reads_nothing_of_earlier_ones(spark, tmp_path):
+    """The writer gets totals with its rows; a key that came before is repeated, though it is alone in the batch."""
+    rows = [Row(row=Row(study_id="s1", patient_age="4", patient_sex="F", image_object_key=" k1 ", label="Sana", acquisition_date="d", source="x"), key=None, total=None)]
+    schema = flows.with_key_totals(spark.createDataFrame([], STUDY_BATCH)).schema
+    batch = spark.createDataFrame(rows + [Row(row=None, key="k1", total=3)], schema)
+    flows.study_batch_writer(str(tmp_path / "out"), str(tmp_path / "store"))(batch, 7)
+    assert [r.image_object_key for r in spark.read.parquet(str(tmp_path / "store" / "returned_keys")).collect()] == ["k1"]
+    assert ingest.stored_outcome(spark, f"{tmp_path}/out/batch=7", "rejected").count() == 1
+
+
+def test_registered_rows_are_rows_of_the_tables(spark, tmp_path):
+    """What is registered with its parts is loaded like what is appended."""
+    store = str(tmp_path / "store")
+    d = "/root/testdata/sf0.001"
+    studies = radiology_plans.records(spark, d).limit(50)
+    registered.register_studies(studies, store, "b1")
+    events = registered.load_events(spark, store).count()
+    assert tables.load(spark, store, "radiology_studies").count() == 50 and tables.load(spark, store, "quality_events").count() == events > 0
+    triages = triage_plans.assessed(spark, d).limit(20)
+    registered.register_triages(triage.triage_records(triages, "b"), store, "b1")
+    assert tables.load(spark, store, "triage_records").count() == 20 == registered.load_triages(spark, store).count()

@@ -242,3 +242,22 @@ CLASS_PENDING = (
     "Estado del diagnostico",
 )
 BACKEND_UNAVAILABLE = "no disponible"
+
+# what a snapshot shows where it has nothing
+DEFAULT_SECTIONS = {
+    "radiology": {
+        "total_studies": 0,
+        "class_distribution": {"Sana": 0, "Neumonia": 0, "COVID-19": 0},
+        "warning_count": 0,
+        "average_confidence": 0.0,
+        "last_study_at": None,
+    },
+    "triage": {"total_records": 0},
+    "pipeline": {"latest_run": None},
+    "quality": {"open_events_by_severity": {}},
+    "triage_model": {"loaded": False, "model_name": None},
+    "recent_studies": [],
+    "quality_events": [],
+    "recent_triages": [],
+    "backend_status": BACKEND_UNAVAILABLE,
+}

@@ -9,12 +9,15 @@ from vitalgrid.functions.text import strip
 
 
 def iso_time(ts: Column) -> Column:
-    """ISO-8601 text with offset; microseconds appear only when they are not zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(ts, ".SSSSSS")
-    return F.concat(
-        whole, F.when(micros == ".000000", "").otherwise(micros), F.date_format(ts, "xxx")
-    )
+    """ISO-8601 text in UTC, whatever the session's zone; microseconds appear only when they are not zero.
+
+    A time without zone is taken as UTC.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    in_utc = F.timestamp_add("MICROSECOND", F.unix_micros(ts.cast("timestamp")), epoch)
+    plain = F.when(F.typeof(ts) == "timestamp_ntz", ts.cast("timestamp_ntz")).otherwise(in_utc).cast("string")
+    whole = F.translate(plain, " ", "T")
+    return F.concat(F.when(F.contains(whole, F.lit(".")), F.rpad(whole, 26, "0")).otherwise(whole), F.lit("+00:00"))
 
 
 def utc_now() -> Column:

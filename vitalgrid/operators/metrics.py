@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -163,20 +165,8 @@ def platform_snapshot(
     )
 
 
-DEFAULT_SECTIONS = {
-    "radiology": (
-        '{"total_studies":0,"class_distribution":{"Sana":0,"Neumonia":0,"COVID-19":0},'
-        '"warning_count":0,"average_confidence":0.0,"last_study_at":null}'
-    ),
-    "triage": '{"total_records":0}',
-    "pipeline": '{"latest_run":null}',
-    "quality": '{"open_events_by_severity":{}}',
-    "triage_model": '{"loaded":false,"model_name":null}',
-    "recent_studies": "[]",
-    "quality_events": "[]",
-    "recent_triages": "[]",
-    "backend_status": domain.BACKEND_UNAVAILABLE,
-}
+# sections as JSON texts; the status is a text already
+DEFAULT_SECTIONS = {name: value if isinstance(value, str) else json.dumps(value, separators=(",", ":")) for name, value in domain.DEFAULT_SECTIONS.items()}
 
 
 def with_snapshot_defaults(snapshot: DataFrame) -> DataFrame:

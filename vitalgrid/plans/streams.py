@@ -37,7 +37,7 @@ def stream_open_event_counts(spark, d):
     incoming, path, checkpoint = (scratch_path(spark, n) for n in ("event-log", "open-changes", "open-progress"))
     log.unionByName(again).repartition(8, "event_id", "version").write.parquet(incoming)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    flows.store_open_changes(stream, path, checkpoint).awaitTermination()
+    flows.store_open_counts(stream, path, checkpoint).awaitTermination()
     return flows.open_counts(spark, path)
 
 

@@ -90,13 +90,14 @@ def unknown_folders(images: DataFrame) -> DataFrame:
 def scan_labelled_images(spark: SparkSession, path: str) -> DataFrame:
     """``labelled_images`` of a dataset folder; an unknown class folder is an error.
 
-    Only folder names come back to the driver, and at most eleven of them.
+    Their number and at most ten of their names come back to the driver.
     """
     images = labelled_images(scan_images(spark, path))
-    strangers = [row.folder for row in unknown_folders(images).orderBy("folder").limit(11).collect()]
+    names = unknown_folders(images).select("folder").distinct()
+    strangers = [row.folder for row in names.orderBy("folder").limit(10).collect()]
     if strangers:
         raise UnknownFoldersError(
-            f"unknown folders {strangers}, expected {sorted(domain.FOLDER_LABELS)}"
+            f"{names.count()} unknown folders {strangers}, expected {sorted(domain.FOLDER_LABELS)}"
         )
     return images
 

@@ -7,10 +7,12 @@ same rows, not twice as many.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vitalgrid.schemas import COLUMN_DEFAULTS, TABLES
+from vitalgrid.schemas import COLUMN_DEFAULTS, NESTED_EVENT, TABLES
 
 
 class NullValueError(ValueError):
@@ -56,10 +58,33 @@ def append(df: DataFrame, root: str, table: str, batch_id: str) -> None:
     ready.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
 
 
+def _stored(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _events_of_studies(spark: SparkSession, root: str) -> DataFrame | None:
+    """Events that were registered inside their study's row."""
+    nested = T.StructType([T.StructField("events", T.ArrayType(NESTED_EVENT))])
+    studies = _stored(spark, nested, f"{root}/radiology_studies")
+    return None if studies is None else studies.select(F.inline("events")).withColumnRenamed("event_id", "id")
+
+
 def load(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Rows of all batches; columns that older files lack come back with their default."""
+    """Rows of all batches; columns that older files lack come back with their default.
+
+    Events registered with their study are among the rows of ``quality_events``.
+    """
     schema = TABLES[table]
-    rows = spark.read.schema(schema).parquet(f"{root}/{table}")
+    rows = _stored(spark, schema, f"{root}/{table}")
+    if table == "quality_events" and (nested := _events_of_studies(spark, root)) is not None:
+        rows = nested if rows is None else rows.unionByName(nested)
+    if rows is None:
+        rows = spark.read.schema(schema).parquet(f"{root}/{table}")  # says what is missing
     defaults = COLUMN_DEFAULTS[table]
     return rows.select(
         [
