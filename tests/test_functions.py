@@ -94,7 +94,7 @@ def test_nth_is_null_for_null_positions(spark):
 def test_iso_time_is_in_utc_whatever_the_session(spark):
     """In another zone too, in the hour that its clocks repeat, and for times without zone."""
     zone = spark.conf.get("spark.sql.session.timeZone")
-    instants = {0: "1970-01-01T00:00:00+00:00", 1_793_496_600_500_000: "2026-11-01T05:30:00.500000+00:00", 1_793_500_200_000_001: "2026-11-01T06:30:00.000001+00:00"}
+    instants = {0: "1970-01-01T00:00:00+00:00", 1_793_511_000_500_000: "2026-11-01T05:30:00.500000+00:00", 1_793_514_600_000_001: "2026-11-01T06:30:00.000001+00:00"}
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
         rows = spark.createDataFrame([(m,) for m in instants], "m long").select("m", records.iso_time(F.timestamp_micros("m")).alias("iso"))
