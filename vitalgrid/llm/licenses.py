@@ -62,6 +62,8 @@ _SEPARATORS = bytes(b for b in range(128) if not (chr(b).isalnum()))
 WORD_BYTES = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
 LOWER_BYTES = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
+#: What must follow the short tag, which prose has too: a known identifier, perhaps with a version, or a reference.
+IDENTIFIED = re.compile(rf"[ \t(]*(?:licenseref-|(?:{'|'.join(map(re.escape, IDENTIFIERS))})(?:v?[0-9]|[^a-z0-9_\x80-\xFF]|$))")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
@@ -149,7 +151,7 @@ def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     for phrase, label in {**MORE_PHRASES, **BASE_PHRASES}.items():
         phrases.add_word(f" {phrase} ", (len(phrase) + 2, label, phrase in BASE_PHRASES))
     for tag in TAGS:
-        tags.add_word(tag, len(tag))
+        tags.add_word(tag, (len(tag), tag == TAGS[-1]))
     phrases.make_automaton()
     tags.make_automaton()
     return phrases, tags
@@ -162,7 +164,10 @@ FIELDS = {
 
 
 def scan_text(text: str) -> tuple:
-    """The FIELDS of one text. ``permissive`` is NULL without an expression; else all of them must be."""
+    """The FIELDS of one text. ``permissive`` is NULL without an expression; else all of them must be.
+
+    A tag counts where a word begins; the short one only before something that names a licence.
+    """
     phrases, tags = automata()
     raw = text.encode()
     words = raw.translate(WORD_BYTES).split()
@@ -174,7 +179,10 @@ def scan_text(text: str) -> tuple:
             starts.append(end - length + 1)
         weights[label] = max(weights.get(label, 0.0), WEIGHT_BASE if is_base else WEIGHT_MORE)
     lowered, permissive = raw.translate(LOWER_BYTES).decode("latin-1"), None
-    for end, _ in tags.iter(lowered):
+    for end, (length, is_short) in tags.iter(lowered):
+        before = lowered[end - length : end - length + 1] if end >= length else " "
+        if before.isalnum() or before == "_" or before > "\x7F" or is_short and not IDENTIFIED.match(lowered, end + 1):
+            continue  # the end of a longer word, or prose
         if finding := evaluate(tokens_at(lowered, end + 1)):
             weights |= dict.fromkeys(finding.labels, WEIGHT_TAG)
             permissive = finding.permissive if permissive is None else permissive and finding.permissive
