@@ -36,7 +36,14 @@ DOCUMENTS = [
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "short item"), (3, None), (4, ""), (5, "iota kappa"), (2, "short item"), (None, "another text")]
 
 
-def write(folder: Path, documents, labels, items) -> str:
+SAME = "the same page, über 100 bytes " * 6
+PAGES = [
+    (9001, "http://b.example.com/", None), (9002, None, ""), (None, "no id", SAME), (9004, "http://x.example/", SAME), (9003, "http://x.example/a b", SAME), (9003, "http://x.example/a b", SAME),
+    (9005, "http://x.example/y", "short"), (9006, "http://x.example/z", "short"), (None, None, None), (9007, "http://x.example/long", "long page " * 50_000), (9008, "", "WARC/1.1\r\n\r\n\r\n\r\n" * 9),
+]
+
+
+def write(folder: Path, documents, labels, items, pages=(), vectors=()) -> str:
     ids, texts, langs, sources = (list(c) for c in zip(*documents)) if documents else ([], [], [], [])
     columns = {
         "doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string()), "source": pa.array(sources, pa.string()),
@@ -47,6 +54,12 @@ def write(folder: Path, documents, labels, items) -> str:
     pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array(quality, pa.int32()), "toxic": pa.array(toxic, pa.int32()), "text": pa.array([""] * len(ids), pa.string())}), folder / "labels.parquet")
     ids, texts = (list(c) for c in zip(*items)) if items else ([], [])
     pq.write_table(pa.table({"item_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "window": pa.array([0] * len(ids), pa.int64())}), folder / "benchmark.parquet")
+    ids, urls, htmls = (list(c) for c in zip(*pages)) if pages else ([], [], [])
+    columns = {"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "html": pa.array(htmls, pa.string())}
+    pq.write_table(pa.table(columns | {c: pa.array(["own"] * len(ids), pa.string()) for c in ("id", "date", "digest", "bytes", "payload", "value", "first")}), folder / "pages.parquet")
+    ids, vectors, classes = (list(c) for c in zip(*vectors)) if vectors else ([], [], [])
+    columns = {"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array(classes, pa.int32())}
+    pq.write_table(pa.table(columns | {c: pa.array(["own"] * len(ids), pa.string()) for c in ("v", "key", "unit", "best", "score")}), folder / "embeddings.parquet")
     return str(folder)
 
 
@@ -61,7 +74,12 @@ def awkward(tmp_path_factory, rows):
     labels = duckdb.sql(f"select doc_id, quality, toxic from '{SF_DIR}/labels.parquet'").fetchall()
     labels += labels[:5] + [(None, 1, 0), (9001, None, None), (9006, 0, 1), (77_777, 1, 0)]
     items = ITEMS + duckdb.sql(f"select item_id + 100, text from '{SF_DIR}/benchmark.parquet'").fetchall()
-    return write(tmp_path_factory.mktemp("awkward"), rows, labels, items)
+    pages = PAGES + duckdb.sql(f"select page_id, url, html from '{SF_DIR}/pages.parquet'").fetchall()
+    vectors = duckdb.sql(f"select vec_id, embedding, label from '{SF_DIR}/embeddings.parquet'").fetchall()
+    first = list(vectors[0][1])
+    vectors += [(90_001, None, 1), (90_002, first, None), (90_003, first[:-1] + [None], 2), (90_004, [float("nan")] * len(first), 3), (90_005, [float("inf")] * len(first), 3)]
+    vectors += [(n, first, n % 10) for n in range(90_100, 90_140)]  # ties
+    return write(tmp_path_factory.mktemp("awkward"), rows, labels, items, pages, vectors)
 
 
 @pytest.fixture(scope="session")
