@@ -224,8 +224,7 @@ def top_contributors(spark, d):
     return exploded.select("triage_id", (F.col("position") + 1).cast("long").alias("rank"), "c.*")
 
 
-_COMPLETE = f"""
-    (SELECT a.*, t.heart_rate, t.features FROM v_assess a JOIN (SELECT triage_id, heart_rate, {_VECTOR} AS features FROM v_triage) t USING (triage_id)) x"""
+_COMPLETE = f"(SELECT *, {_VECTOR} AS features FROM v_assess) x"  # ids repeat, so nothing is joined by them
 _CONTRIBUTORS = (
     f"CASE WHEN certainty IS NOT NULL THEN list_transform(list_slice(list_reverse_sort(list_transform(range(1, {len(domain.FEATURES) + 1}), "
     f"lambda i: {{'w': CASE WHEN features[i] <> 0 THEN {_IMPORTANCE}[i] ELSE 0e0 END, 'i': i}})), 1, 3), lambda s: {text_list(domain.FEATURES)}[s.i]) END"

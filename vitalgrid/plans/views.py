@@ -162,7 +162,7 @@ VIEWS = {
         FROM (SELECT *, greatest(p1, p2, p3, p4) AS certainty,
                CASE greatest(p1, p2, p3, p4) WHEN p1 THEN 1 WHEN p2 THEN 2 WHEN p3 THEN 3 ELSE 4 END AS cls FROM v_probs) a) b""",
     "v_assess": """
-        SELECT r.triage_id, r.created_at, r.patient_name, r.symptoms, r.symptom_mask, m.certainty, m.p1, m.p2, m.p3, m.p4,
+        SELECT r.triage_id, r.created_at, r.patient_name, r.symptoms, r.symptom_mask, r.age, r.heart_rate, r.oxygen_saturation, r.systolic_bp, r.respiratory_rate, r.temperature, m.certainty, m.p1, m.p2, m.p3, m.p4,
                coalesce(m.score, r.score) AS score, coalesce(m.risk_level, r.risk_level) AS risk_level,
                coalesce(m.confidence, r.confidence) AS confidence,
                coalesce(m.recommended_priority, r.recommended_priority) AS recommended_priority,
