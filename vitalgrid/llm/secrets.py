@@ -115,13 +115,18 @@ def spans(text: Column, lowered: Column, rules: tuple[Rule, ...] = RULES) -> Col
     return F.array_sort(F.concat(*found))
 
 
-def create_ledger(spark: SparkSession, path: str, path_type: str = "bigint") -> str:
+def create_ledger(spark: SparkSession, path: str, path_type: str = "bigint", mode: str = "error") -> str:
     """An empty ledger: ``versions`` (path, blob_id) and ``findings`` (blob_id, rules, spans)."""
-    spark.sql(f"select cast(null as {path_type}) as path, '' as blob_id where false").write.parquet(f"{path}/versions")
-    spark.sql(f"select '' as blob_id, '' as rules, cast(array() as {SPANS}) as spans where false").write.parquet(f"{path}/findings")
+    spark.sql(f"select cast(null as {path_type}) as path, '' as blob_id where false").write.mode(mode).parquet(f"{path}/versions")
+    spark.sql(f"select '' as blob_id, '' as rules, cast(array() as {SPANS}) as spans where false").write.mode(mode).parquet(f"{path}/findings")
     return path
 
 
+def open_ledger(docs: DataFrame, path: str, id_col: str = "doc_id") -> str:
+    """The ledger at ``path``, begun there if there is none; what it holds stays."""
+    return create_ledger(docs.sparkSession, path, docs.schema[id_col].dataType.simpleString(), mode="append")
+
+
 def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Files the documents as versions of their paths and scans what has not been scanned.
 
