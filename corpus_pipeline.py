@@ -11,6 +11,9 @@ from vitalgrid.llm import decontaminate, mixing, quality_rules, secrets, simhash
 from vitalgrid.llm.common import table
 from vitalgrid.session import materialize
 
+#: Session setting: a folder all executors see, where the ledger of scanned texts is kept between runs.
+SECRET_LEDGER = "vitalgrid.secret.ledger"
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; cutoffs by language from the labels."""
@@ -28,8 +31,13 @@ def leave_out_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked and their lengths counted again."""
-    masked = secrets.mask_secrets(docs)
+    """All documents, their secrets masked and their lengths counted again.
+
+    With a ledger's folder in ``SECRET_LEDGER`` only texts are scanned that no earlier run has
+    filed there; without one, every run scans its own.
+    """
+    path = spark.conf.get(SECRET_LEDGER, None)
+    masked = secrets.mask_secrets(docs, secrets.open_ledger(docs, path) if path else None)
     return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast(masked.schema["n_chars"].dataType), "n_chars"))
 
 
