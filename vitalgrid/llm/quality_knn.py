@@ -29,6 +29,8 @@ SHAPES, PAIRS = 512, 512
 REPEATS = 3
 TERMS = SHAPES + PAIRS + REPEATS
 RANK, NEIGHBOURS, SHARPNESS = 48, 25, 8.0
+#: Cosines that agree to this part of one are equal: sums differ in their last bits with the block they are taken in.
+STEP = 2.0**-36
 #: Documents compared together.
 BLOCK = 256
 #: Distinct words a task remembers.
@@ -104,13 +106,19 @@ class Space:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """The weighted vote of the nearest; the share of good labels where nothing is similar."""
+        """The weighted vote of the nearest; the share of good labels where nothing is similar.
+
+        Of vectors that are equally near the earlier votes, so that one text has one score in
+        any block.
+        """
         if not len(self.labels):
             return np.full(len(counts), self.share)
         similar = self.project(counts.astype(np.float64)) @ self.vectors.T
         near = min(NEIGHBOURS, similar.shape[1])
-        places = np.argpartition(-similar, near - 1, axis=1)[:, :near]
-        weight = np.maximum(np.take_along_axis(similar, places, 1), 0) ** SHARPNESS * self.stands_for[places]
+        steps = np.rint(similar / STEP)
+        distance = np.arange(steps.shape[1]) - steps * steps.shape[1]
+        places = np.sort(np.argpartition(distance, near - 1, axis=1)[:, :near], axis=1)
+        weight = np.maximum(np.take_along_axis(steps, places, 1) * STEP, 0) ** SHARPNESS * self.stands_for[places]
         total = weight.sum(1)
         return np.where(total > 0, (weight * self.labels[places]).sum(1) / np.maximum(total, 1e-300), self.share).clip(0, 1)
 
@@ -152,7 +160,8 @@ def score(docs: DataFrame, space: Space, text_col: str = "text", keep: tuple[str
     """(doc, score): the columns named in ``keep`` as a struct, and the score of the whole text.
 
     Only the text is scored. NULL, empty and blank texts, and all texts if there are no labels,
-    score the share of good labels. Equal texts have equal scores.
+    score the share of good labels. Equal texts have equal scores; of labelled documents that are
+    equally near, those of label 0 vote first, then those of smaller counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
