@@ -40,8 +40,8 @@ AT_THRESHOLD = 0.7
 LEAST_CALIBRATION = 15
 #: Steps to a unit of the logits that thresholds are chosen from, and the largest logit told apart.
 GRID, FARTHEST = 256, 64
-#: Up to this many labels their ids are broadcast.
-FEW_LABELS = 1 << 20
+#: Up to this many labels, with ids of this many bytes as text, their ids are broadcast.
+FEW_LABELS, FEW_BYTES = 1 << 20, 1 << 26
 #: Words scored together.
 TOGETHER = 1 << 17
 #: Distinct words a task remembers.
@@ -316,6 +316,12 @@ def choose_thresholds(cells: list) -> np.ndarray:
     return thresholds
 
 
+def can_be_broadcast(known: DataFrame) -> bool:
+    """Whether the ids of the labels are few and short enough to send to every task."""
+    size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("doc_id").cast("string"))).alias("bytes")).first()
+    return size["n"] <= FEW_LABELS and (size["bytes"] or 0) <= FEW_BYTES
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = PER_CLASS, longest: int = LONGEST, label: str = "toxic") -> Classifier:
     """Fits on four fifths of at most ``per_class`` labelled documents of each class, of at most ``longest``
     bytes: that much the driver holds. All other labelled documents, of any length, set the thresholds."""
@@ -325,8 +331,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, training: Column, per_class: int
     fitted = [r for n, r in enumerate(rows) if n % 5 != 4]
     classifier = fit([r["text"] for r in fitted], np.array([r["label"] for r in fitted], np.float32), totals)
     if classifier.network is not None:
-        known, few = sampling.marks(labels, label, training), sum(totals.values()) <= FEW_LABELS
-        cells = calibration_counts(id_and_text(docs), known, classifier, [r["doc_id"] for r in fitted], longest, few)
+        known = sampling.marks(labels, label, training)
+        cells = calibration_counts(id_and_text(docs), known, classifier, [r["doc_id"] for r in fitted], longest, can_be_broadcast(known))
         classifier.thresholds = choose_thresholds(cells.collect())
     return classifier
 
