@@ -7,6 +7,7 @@ import random
 import time
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import plain
 import public_tokenizers
@@ -70,6 +71,34 @@ def test_ledger_scans_what_is_new(spark, tmp_path, monkeypatch):
     assert [(r.path, len(r.spans)) for r in secrets.findings_by_path(spark, ledger, rules).collect()] == [(4, 1)]
 
 
+def test_ledger_is_opened_again(spark, tmp_path):
+    """A ledger at a given place is begun once; opening it again keeps what it holds."""
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, None)], "doc_id long, text string")
+    path = str(tmp_path / "kept")
+    first = secrets.mask_secrets(docs, secrets.open_ledger(docs, path)).collect()
+    again = secrets.mask_secrets(docs, secrets.open_ledger(docs, path)).collect()
+    assert sorted(first) == sorted(again) == [(1, "[SECRET]"), (2, None)]
+    assert spark.read.parquet(f"{path}/findings").count() == 2
+
+
+@pytest.mark.parametrize("ledger", [None, "kept"])
+def test_secret_stage_keeps_its_ledger(spark, tmp_path, ledger):
+    """With a ledger in the session's settings a second run of the stage scans new texts only."""
+    stage = dict(corpus_pipeline.STAGES)["secret_scan"]
+    docs = lambda *rows: spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars int")
+    path = str(tmp_path / "kept")
+    if ledger:
+        spark.conf.set(corpus_pipeline.SECRET_LEDGER, path)
+    try:
+        one = stage(spark, docs((1, "token=abcdefgh"), (2, "clean")), "").collect()
+        two = stage(spark, docs((1, "token=abcdefgh"), (3, "password: hunter22")), "").collect()
+    finally:
+        spark.conf.unset(corpus_pipeline.SECRET_LEDGER)
+    assert {r.doc_id: (r.text, r.n_chars) for r in one + two} == {1: ("[SECRET]", 8), 2: ("clean", 5), 3: ("[SECRET]", 8)}
+    if ledger:
+        assert spark.read.parquet(f"{path}/findings").count() == 3 and spark.read.parquet(f"{path}/versions").count() == 4
+
+
 WORDS = [f"w{n}" for n in range(40)]
 
 
