@@ -21,12 +21,17 @@ def requests(spark, d):
     return clinical.triage_requests(spark, d)
 
 
+def spread_requests(spark, d):
+    """For queries with long work on each row."""
+    return clinical.triage_requests(spark, d, over_cores=True)
+
+
 def scores(spark, d):
     return clinical.logits(spark, d).select("vec_id", arrays.softmax(F.col("risk_logits")).alias("probabilities"))
 
 
 def assessed(spark, d):
-    return triage.assess(requests(spark, d), scores(spark, d), importances=IMPORTANCES)
+    return triage.assess(spread_requests(spark, d), scores(spark, d), importances=IMPORTANCES)
 
 
 def _form_check() -> tuple[str, str]:
@@ -95,7 +100,7 @@ _FOLDED = "list_transform(list_filter({d}, lambda s: {keep}), lambda s: lower({s
            array_to_string(list_sort(list_distinct({_FOLDED.format(d=_DIRTY, keep=strip('s') + " <> ''", strip=strip('s'))})), ',') AS for_model
     FROM v_triage""")
 def symptom_normalize(spark, d):
-    rows = _with_dirty_symptoms(requests(spark, d))
+    rows = _with_dirty_symptoms(spread_requests(spark, d))
     return rows.select(
         "triage_id",
         F.array_join(F.array_sort(arrays.symptom_set(F.col("symptoms"))), ",").alias("for_rules"),
@@ -155,7 +160,7 @@ _FEATURES = ", ".join(
 
 @query("feature_vector", f"SELECT triage_id, {_FEATURES} FROM v_triage")
 def feature_vector(spark, d):
-    vector = triage.feature_vector(requests(spark, d))
+    vector = triage.feature_vector(spread_requests(spark, d))
     names = [*domain.VITALS, *[f"symptom_{bit}" for bit in range(len(domain.SYMPTOMS))]]
     return vector.select("triage_id", *[F.col("features")[i].alias(name) for i, name in enumerate(names)])
 
@@ -219,7 +224,7 @@ _VECTOR = (
                 FROM (SELECT row_number() OVER () AS request, triage_id, {_VECTOR} AS features FROM v_triage) s) t) u
     QUALIFY rank <= 3""")
 def top_contributors(spark, d):
-    ranked = triage.top_contributors(triage.feature_vector(requests(spark, d)), IMPORTANCES)
+    ranked = triage.top_contributors(triage.feature_vector(spread_requests(spark, d)), IMPORTANCES)
     exploded = ranked.select("triage_id", F.posexplode_outer("contributors").alias("position", "c"))
     return exploded.select("triage_id", (F.col("position") + 1).cast("long").alias("rank"), "c.*")
 
@@ -235,6 +240,13 @@ _MODEL_ONLY = ", ".join(
 )
 
 
+_SAID = (
+    "triage_id STRING, request STRUCT<symptoms: ARRAY<STRING>, vitals: STRUCT<heart_rate: STRING>>, "
+    "assessment STRUCT<risk_level: STRING, model_version: STRING, model_family: STRING, clinical_note: STRING, "
+    "top_contributors: ARRAY<STRUCT<feature: STRING>>, probabilities: STRUCT<critical: DOUBLE>, alerts: ARRAY<STRING>>"
+)
+
+
 @query("register_triage", f"""
     SELECT triage_id AS id, 'PAC-' || upper(substr(md5('patient|' || triage_id), 1, 8)) AS patient_id, patient_name, risk_level,
            recommended_priority, score, confidence, 'triage-reports/' || triage_id || '.json' AS report_object_key,
@@ -246,19 +258,18 @@ def register_triage(spark, d):
     """Records as stored, each with what its document says."""
     store = scratch_path(spark, "triage")
     registered.register_triages(triage.triage_records(assessed(spark, d), "clinical-reports"), store, "batch-1")
-    said = lambda path: F.get_json_object("document", f"$.{path}")
-    return registered.load_triages(spark, store).select(
+    said = F.from_json("document", _SAID)  # one pass over a text, however many of its parts are wanted
+    about = ("model_version", "model_family", "clinical_note")
+    return registered.load_triages(spark, store).withColumn("_said", said).select(
         "id", "patient_id", "patient_name", "risk_level", "recommended_priority", "score", "confidence", "report_object_key",
-        said("triage_id").alias("document_id"),
-        said("assessment.risk_level").alias("document_risk"),
-        F.json_array_length(said("request.symptoms")).alias("document_symptoms"),
-        said("request.vitals.heart_rate").alias("document_heart_rate"),
-        said("assessment.model_version").alias("model_version"),
-        said("assessment.model_family").alias("model_family"),
-        said("assessment.clinical_note").alias("clinical_note"),
-        said("assessment.top_contributors[0].feature").alias("first_contributor"),
-        said("assessment.probabilities.critical").cast("double").alias("p_critical"),
-        F.json_array_length(said("assessment.alerts")).alias("n_alerts"),
+        F.col("_said.triage_id").alias("document_id"),
+        F.col("_said.assessment.risk_level").alias("document_risk"),
+        F.array_size("_said.request.symptoms").alias("document_symptoms"),
+        F.col("_said.request.vitals.heart_rate").alias("document_heart_rate"),
+        *[F.col(f"_said.assessment.{name}").alias(name) for name in about],
+        F.get("_said.assessment.top_contributors", F.lit(0))["feature"].alias("first_contributor"),
+        F.col("_said.assessment.probabilities.critical").alias("p_critical"),
+        F.array_size("_said.assessment.alerts").alias("n_alerts"),
     )
 
 
