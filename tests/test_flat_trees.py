@@ -70,3 +70,30 @@ def test_a_stored_forest_is_not_written_again(spark, tmp_path):
     stored = grown.save(str(tmp_path / "forest"))
     assert stored.stored == str(tmp_path / "forest") and grown.stored is None
     assert stored.save(stored.stored) is stored and forest.load_forest(stored.stored, 1).stored == stored.stored
+
+
+def test_forests_grow_and_are_stored_side_by_side(spark, tmp_path, monkeypatch):
+    """One round of work for the forests of the folds and the uncalibrated one; each group is stored by who grew it."""
+    rounds, side_by_side = [], forest._side_by_side
+
+    def watched(session, jobs):
+        rounds.append(len(jobs))
+        return side_by_side(session, jobs)
+
+    monkeypatch.setattr(forest, "_side_by_side", watched)
+    rows, _ = _grown(spark, trees=2, depth=2, group_trees=2)
+    rows = rows.withColumn("triage_id", F.xxhash64("features").cast("string")).withColumn("features", array_to_vector("features"))
+    rounds.clear()
+    path = str(tmp_path / "model")
+    model = forest.train_calibrated(rows, path=path, trees=4, depth=3, folds=2)
+    assert rounds[0] == 3  # no round for the base forest alone, none for storing
+    assert [model.base.stored, *[f.stored for f, _ in model.folds]] == [f"{path}/base", f"{path}/fold_0", f"{path}/fold_1"]
+    for grown in (model.base, *[f for f, _ in model.folds]):
+        assert forest.load_forest(grown.stored, 1).importances() == grown.importances()
+    alone = forest.train_forest(rows, trees=4, depth=3)
+    assert alone.stored is None and alone.importances() == model.base.importances()
+
+
+def test_a_batch_walks_at_once():
+    """A whole Arrow batch of the default size has no short rest."""
+    assert flat_trees.WALK_ROWS >= 10_000
