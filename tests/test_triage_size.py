@@ -79,3 +79,37 @@ def test_split_brings_only_border_rows_together(spark, monkeypatch):
     assert split.groupBy("key", "label").agg(F.countDistinct("subset").alias("n")).filter("n > 1").isEmpty()
     for row in split.groupBy("label").agg(F.count_if(F.col("subset") == "val").alias("val"), F.count(F.lit(1)).alias("n")).collect():
         assert abs(row.val - 0.2 * row.n) <= 2
+
+
+def test_parts_of_a_large_table_are_not_stored_again(spark, monkeypatch):
+    """Split and drawn from the stored features in place; the same rows as from a stored split."""
+    stored = []
+
+    def watched(df, name):
+        result = materialize(df, name)
+        stored.append((name, result.count()))
+        return result
+
+    numbers = F.array(F.lit(0.5), (F.col("id") % 7).cast("double"))
+    ids = spark.range(9_000).select(F.concat(F.lit("t"), "id").alias("triage_id"), numbers.alias("features"), F.when(F.col("id") % 3 == 0, "low").otherwise("high").alias("label"))
+    table = materialize(ids, "to-part")
+    monkeypatch.setattr(forest, "materialize", watched)
+    part, rows, test = forest.prepare(table, "label", 3, 200)
+    assert "parts" not in dict(stored) and dict(stored)["rows-to-draw"] < 1_000
+    expected = materialize(forest.split_rows(table, "label", 3), "parts")
+    for found, subset in ((part, "train"), (test, "val")):
+        wanted = expected.filter(F.col("subset") == subset).select("triage_id", "features", "label")
+        found = found.select("triage_id", "features", "label")
+        assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
+    drawn = forest.bounded_rows(expected.filter("subset = 'train'"), 200, "label", 3).select("triage_id")
+    assert rows.count() == 200 and rows.select("triage_id").exceptAll(drawn).isEmpty()
+
+
+def test_first_look_of_the_split_shrinks_to_few_counts(spark, monkeypatch):
+    """Counts by label and bucket stay far below the rows of a task."""
+    assert 16 ** evaluation.BUCKET_DIGITS <= 4096
+    monkeypatch.setattr(evaluation, "ORDERED_IDS", 0)  # every digit is looked at
+    table = materialize(spark.range(300).select(F.col("id").cast("string").alias("key"), F.lit("a").alias("label")), "all-digits")
+    split = evaluation.stratified_split(table, "label", "key", 0.2, 5)
+    order = [r.key for r in table.orderBy(F.md5(F.concat(F.lit("5|"), "key"))).collect()]
+    assert {r.key for r in split.filter("subset = 'val'").collect()} == set(order[:60])
