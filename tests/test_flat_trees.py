@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
+from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -97,3 +99,42 @@ def test_forests_grow_and_are_stored_side_by_side(spark, tmp_path, monkeypatch):
 def test_a_batch_walks_at_once():
     """A whole Arrow batch of the default size has no short rest."""
     assert flat_trees.WALK_ROWS >= 10_000
+
+
+def test_deep_trees_answer_as_mllib_below_the_top_levels_too(spark):
+    """Rows that leave the masks at a leaf, and rows that walk on; batches of whole words of 64 rows and others."""
+    rows, grown = _grown(spark, trees=10, depth=12, group_trees=6)
+    trees = grown.sent(spark).value
+    assert max(depth for group in trees.groups for _, depth in group) > flat_trees.TOP_LEVELS
+    features = [r.features for r in rows.collect()][:130] + [[math.nan] * 5, [math.inf] * 5, [-math.inf] * 5]
+    expected = []
+    for row in features:
+        raw = [group.predictRaw(Vectors.dense(row)).toArray() for group in grown.groups]
+        expected.append(list((raw[0] + raw[1]) / 10.0))
+    for size in (1, 63, 64, 65, 128, 133):
+        assert trees.shares(np.array(features[:size])).tolist() == expected[:size]
+
+
+def test_no_row_walks_through_the_top_levels(spark):
+    """Shallow trees answer from masks and leaves alone: nodes that all lead elsewhere change nothing."""
+    rows, grown = _grown(spark, trees=6, depth=6, group_trees=6)
+    trees = grown.sent(spark).value
+    features = np.array([r.features for r in rows.collect()])
+    assert replace(trees, nodes=np.zeros_like(trees.nodes)).shares(features).tolist() == trees.shares(features).tolist()
+
+
+def test_trees_are_wrapped_for_python_only_when_asked_for(spark, tmp_path, monkeypatch):
+    """Growing, storing, loading, depth, importances and scoring ask for none of them."""
+    wrapped, init = [], DecisionTreeClassificationModel.__init__
+
+    def counted(self, *given):
+        wrapped.append(self)
+        init(self, *given)
+
+    monkeypatch.setattr(DecisionTreeClassificationModel, "__init__", counted)
+    rows, grown = _grown(spark, trees=6, depth=4, group_trees=4)
+    back = forest.load_forest(grown.save(str(tmp_path / "forest")).stored, 2)
+    assert (back.trees, back.depth, back.importances()) == (6, grown.depth, grown.importances())
+    assert back.shares(rows, "features", "p").count() == 600 and not wrapped
+    assert {g.getOrDefault("maxDepth") for g in (*grown.groups, *back.groups)} == {4}
+    assert max(tree.depth for g in back.groups for tree in g.trees) == back.depth and len(wrapped) == 6
