@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import evaluation, forest, triage
-from vitalgrid.plans import registry, triage as triage_queries
+from vitalgrid.plans import model as model_queries, registry, triage as triage_queries
 from vitalgrid.session import materialize
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -113,3 +114,23 @@ def test_first_look_of_the_split_shrinks_to_few_counts(spark, monkeypatch):
     split = evaluation.stratified_split(table, "label", "key", 0.2, 5)
     order = [r.key for r in table.orderBy(F.md5(F.concat(F.lit("5|"), "key"))).collect()]
     assert {r.key for r in split.filter("subset = 'val'").collect()} == set(order[:60])
+
+
+def test_all_training_rows_are_fitted_on_unless_a_bound_is_asked_for(spark):
+    """More rows than the published training set has, in one class above all: none is left out."""
+    ids = spark.range(11_000).select(F.concat(F.lit("t"), "id").alias("triage_id"), F.array(F.lit(0.5), (F.col("id") % 7).cast("double")).alias("features"), F.when(F.col("id") % 50 == 0, "critical").otherwise("low").alias("label"))
+    part, rows, test = forest.prepare(materialize(ids, "to-fit-on"), "label", 3)
+    assert part.count() + test.count() == 11_000 and part.count() == 8_800
+    assert rows.select("triage_id").exceptAll(part.select("triage_id")).isEmpty() and rows.count() == 8_800
+
+
+def test_the_queries_fit_on_every_training_row(spark, tmp_path):
+    """What the metrics document must say was fitted, by the query's own text, is what the queries fit on."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    keys = F.col("l_orderkey") + F.lit(1_000_000).cast(lines.schema["l_orderkey"].dataType)
+    lines.unionByName(lines.withColumn("l_orderkey", keys)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    said = con.execute(f"SELECT training_samples, fitted_samples FROM ({registry.CHECKS['training_metrics_checks']}) q").fetchone()
+    part, rows, _ = model_queries.prepared(spark, str(tmp_path))
+    assert said == (part.count(), rows.count()) and said[1] > forest.FIT_ROWS
